@@ -26,7 +26,7 @@ from corvane.llm.common import map_batches, text_list
 LEVEL, CHUNK, BAD_SHARE = 3, 4096, 0.3
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: From this many bytes on: least and greatest ratio of original to compressed size.
-BANDS: tuple[tuple[int, float, float], ...] = ((0, 1.15, 3.2), (512, 1.3, 4.0), (2048, 1.4, 4.5), (8192, 1.5, 5.0), (32768, 1.5, 6.0))
+BANDS: tuple[tuple[int, float, float], ...] = ((0, 1.15, 2.2), (700, 1.3, 2.45), (2048, 1.5, 2.65), (8192, 1.6, 2.9), (32768, 1.6, 3.1))
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 
 

@@ -3,8 +3,8 @@
 The entities to protect are the addresses and numbers that the base patterns find. A term
 reveals an entity as far as their pointwise mutual information reaches the entity's own information
 content, both estimated over the whole corpus: PMI = log2(n(t,e) * N / (n(t) * n(e))) against IC = log2(N / n(e)).
-n(t,e) counts distinct contexts (the words around an occurrence), so copies of one passage
-count once; n(t) and n(e) count documents. A term seen with an entity in at least `support` contexts is
+n(t,e) counts the distinct surroundings (the words just before and after the term) in which the
+term occurs near the entity, so copies and near copies of one passage count once; n(t) and n(e) count documents. A term seen with an entity in at least `support` surroundings is
 generalised (to a class of term) from `generalise` on and removed from `remove` on, in every document that holds the entity.
 
 Defined cases: a null text is empty. Spans of one kind don't overlap; spans of different kinds
@@ -88,7 +88,7 @@ def term(word: str) -> str:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, context hash, terms) of each occurrence of an entity."""
+    """(doc_id, entity, term, place) of each word near an entity; place is a hash of the words beside it. An entity without words has one row without a term."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -99,20 +99,24 @@ def contexts(docs: DataFrame) -> DataFrame:
             blocked = [(a, b) for _, a, b in spans]
             for kind, a, b in spans:
                 near = [*list(_TERM.finditer(text, max(0, a - 40 * AROUND), a))[-AROUND:], *list(_TERM.finditer(text, b, b + 40 * AROUND))[:AROUND]]
-                found = [t for m in near if not any(x < m.end() and m.start() < y for x, y in blocked) and len(t := term(m[0])) > 2]
-                digest = hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                rows.append((doc_id, entity(kind, text[a:b]), int.from_bytes(digest, "big", signed=True), sorted(set(found))))
+                named = ["" if any(x < m.end() and m.start() < y for x, y in blocked) else term(m[0]) for m in near]
+                for before, word, after in zip(["", *named], named, [*named[1:], ""]):
+                    if len(word) > 2:
+                        digest = hashlib.blake2b(f"{before} {after}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                        rows.append((doc_id, entity(kind, text[a:b]), word, int.from_bytes(digest, "big", signed=True)))
+                if not any(len(w) > 2 for w in named):
+                    rows.append((doc_id, entity(kind, text[a:b]), None, None))
         columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string())))], ["doc_id", "entity", "context", "terms"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["doc_id", "entity", "term", "place"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, entity string, context long, terms array<string>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, entity string, term string, place long")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure): terms at or over the lower threshold."""
     total = docs.count()
-    once = found.groupBy("entity", "context").agg(F.max("terms").alias("terms"))
-    joint = once.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
+    once = found.filter("term is not null").select("entity", "term", "place").distinct()
+    joint = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     joint = cut(joint)
     held = found.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = joint.select("term").distinct()
