@@ -101,10 +101,11 @@ def _bits(values: pd.Series) -> list[int]:
 def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Adds bin, place and bin_words to the pieces of a shard (doc_id, key, cluster, piece, n)."""
     names = [f"{d}:{p}" for d, p in zip(pdf.doc_id.astype("object").where(pdf.doc_id.notna(), "null"), pdf.piece)]
-    pdf = pdf.assign(at=[hashlib.blake2b(x.encode(), digest_size=8).hexdigest() for x in names], source_bit=_bits(pdf["key"]), cluster_bit=_bits(pdf["cluster"]))
+    pdf = pdf.assign(at=[hashlib.blake2b(x.encode(), digest_size=8).hexdigest() for x in names])
     pdf = pdf.sort_values(["n", "at", "doc_id", "key", "cluster"], ascending=[False, True, True, True, True], kind="stable")
     bins = Bins(capacity)
-    put = [bins.put(int(n), s, c) for n, s, c in zip(pdf.n, pdf.source_bit, pdf.cluster_bit)]
+    # the bitmaps have any number of bits, so they stay outside the frame
+    put = [bins.put(int(n), s, c) for n, s, c in zip(pdf.n, _bits(pdf["key"]), _bits(pdf["cluster"]))]
     return pdf.assign(bin=[b for b, _ in put], place=[p for _, p in put], bin_words=[capacity - bins.residual[b] for b, _ in put])
 
 
