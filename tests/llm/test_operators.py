@@ -1,0 +1,295 @@
+"""Each operator against a plain version on small tables, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from corvane.llm import compression, fingerprints, licenses, mixing, pii, simhash, toolcalls, toxicity, urls
+from corvane.llm.graph import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DICE = random.Random(3)
+VOCABULARY = ["".join(DICE.choice("abcdefgéß") for _ in range(DICE.randrange(2, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    dice = random.Random(seed)
+    return "".join(dice.choice(VOCABULARY) + dice.choice([" ", " ", " ", "\n", ". "]) for _ in range(n))
+
+
+def documents(spark, rows):
+    """With columns whose names the operators use inside."""
+    df = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    return df.selectExpr("*", "'en' as lang", "cast(length(text) as long) as n_chars", "1 as size", "2 as fp", "3 as key", "4 as bucket", "5 as block", "6 as sketch", "7 as score")
+
+
+def hard_rows():
+    long = prose(30_000, 9)
+    rows = [(1, prose(80, 1), "a"), (2, prose(80, 1), "b"), (3, None, "a"), (4, "", None), (5, "one two", "a"), (5, "one two", "a"), (6, long, "b"), (7, " \n\t ", "b"), (None, prose(60, 2), None), (300, prose(90, 3), "ü")]
+    return rows + [(1000 + i, prose(70, 100 + i // 3), "abc"[i % 3]) for i in range(30)]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return documents(spark, hard_rows()).persist()
+
+
+def test_fingerprints(spark, hard):
+    got = fingerprints.fingerprints(hard).collect()
+    rows = sorted(hard_rows(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    assert len(got) == len(rows)
+    by = {}
+    for (i, t, _), (_, after, _) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        k = len(t) // 3
+        by.setdefault(i, set()).add((len(t), hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()))
+    for r in got:
+        assert (r.n_chars, r.edited_sha256) in by[r.doc_id]
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    prints = {r.doc_id: r for r in got}
+    assert prints[1].fingerprint == prints[2].fingerprint and prints[2].near_next == 1.0 and prints[4].fingerprint == "" and prints[300].near_next < 0.1
+    sets = {i: {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t, _ in rows if (w := WORD.findall(t or ""))}
+    for i, s in sets.items():
+        assert abs(prints[i].n_shingles - len(s)) <= 0.4 * len(s)
+    assert fingerprints.fingerprints(hard.limit(0)).count() == 0
+
+
+def test_sketches_merge_and_estimate(spark):
+    base = prose(3000, 5).split()
+    df = spark.createDataFrame([("x", " ".join(base[:2000])), ("y", " ".join(base[1000:])), ("z", " ".join(base[:2000]))], "g string, text string").withColumn("sketch", fingerprints.sketch(F.col("text")))
+    x, y = (df.filter(F.col("g") == g).select(F.col("sketch").alias(g)) for g in "xy")
+    r, c = x.crossJoin(y).select(fingerprints.resemblance(F.col("x"), F.col("y")), fingerprints.containment(F.col("x"), F.col("y"))).first()
+    assert abs(r - 1 / 3) < 0.13 and abs(c - 0.5) < 0.2
+    merged = fingerprints.merge_all(df.withColumn("h", F.lit(1)).drop("h"), ["g"]).collect()
+    assert {m.g: m.sketch for m in merged}["x"] == x.first()[0]
+    one = fingerprints.merge_all(df.withColumn("all", F.lit(1)).select("all", "sketch"), ["all"]).first().sketch
+    assert one == sorted(set(x.first()[0]) | set(y.first()[0]))[:128]
+
+
+def test_simhash_against_all_pairs(spark, hard):
+    rows = hard_rows() + [(2000 + i, prose(300, 77)[: 1500 - 3 * i], "a") for i in range(12)]
+    docs = documents(spark, rows)
+
+    def plain(t):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = [(i, plain(t)) for i, t, _ in rows]
+    parent = list(range(len(prints)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= 4:
+                parent[root(a)] = root(b)
+    want = sorted((i or -1, f"{p:016x}", min((j for b, (j, _) in enumerate(prints) if root(b) == root(a) and j is not None), default=-1)) for a, (i, p) in enumerate(prints))
+    for hot in (simhash.HOT, 2):
+        assert sorted((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in simhash.near_duplicates(docs, hot).collect()) == want
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted({c if c > 0 else -1 for *_, c in want})
+    assert simhash.near_duplicates(hard.limit(0)).count() == 0
+
+
+def test_position_triples_meet_every_choice_of_four():
+    from itertools import combinations
+
+    assert len(simhash.TRIPLES) == 20 and all(any(set(t) <= set(c) for t in simhash.TRIPLES) for c in combinations(range(8), 4))
+
+
+def test_components(spark):
+    dice = random.Random(1)
+    pairs = [(dice.randrange(60), dice.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    label = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {x: r for x, r in label.items() if any(a != b and x in (a, b) for a, b in pairs)}
+
+
+def test_mixing(spark, hard):
+    got = mixing.mix(hard, range_rows=4).collect()
+    rows = hard_rows()
+    size = lambda t: len(WORD.findall(t or ""))
+    assert sorted(r["size"] for r in got) == sorted(size(t) for _, t, _ in rows)
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sums = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    free, targets, left = set(sources), {}, 1.5 * sum(sums.values())
+    while free:
+        level = left / sum(weights[s] for s in free)
+        over = {s for s in free if weights[s] * level > 2 * sums[s]}
+        if not over:
+            targets |= {s: weights[s] * level for s in free}
+            break
+        for s in over:
+            targets[s] = 2.0 * sums[s]
+            left -= targets[s]
+        free -= over
+    assert sorted({round(r.target, 6) for r in got}) == sorted({round(x, 6) for x in targets.values()})
+    assert sum(r.taken for r in got) == sum(int(x + 1e-9) for x in targets.values()) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(hard.repartition(7), range_rows=4).collect()))
+    mixed = mixing.mixed_documents(hard)
+    assert mixed.columns == hard.columns and sum(size(r.text) for r in mixed.collect()) == sum(r.taken for r in got)
+    assert mixing.mix(hard.limit(0)).count() == 0 and mixing.mixed_documents(hard.limit(0)).count() == 0
+
+
+def test_quality(spark, hard):
+    extra = [(50, "w%d " * 3 % (1, 2, 3) + "same line here\nsame line here\n same line here\n#$ a<b|c>& %*", "a"), (51, ("Spam and eggs again. " * 200), "a"), (52, "".join(DICE.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(9000)), "a"), (53, " ".join("".join(DICE.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOP") for _ in range(9)) for _ in range(900)), "a")]
+    rows = hard_rows() + extra
+    got = {(r.doc_id, r.n_words): r for r in compression.quality(documents(spark, rows)).collect()}
+    for i, t, _ in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        windows = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        from collections import Counter
+
+        often = Counter(windows)
+        marked = {j + d for j, x in enumerate(windows) if often[x] > 1 for d in range(3)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        r = got[i, len(w)]
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(marked))
+        assert r.base_failed == (len(w) < 50 or 100 * len(marked) > 50 * len(w)) and (not r.kept or not r.base_failed)
+    assert got[51, 800].base_failed and got[53, 900].verdict == "incompressible" and not got[53, 900].kept and got[1, len(WORD.findall(prose(80, 1)))].kept
+    assert compression.quality(hard.limit(0)).count() == 0
+
+
+def test_toxicity(spark):
+    dice = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = prose(120, 500 + i).split()
+        if toxic:
+            for _ in range(8):
+                words.insert(dice.randrange(len(words)), dice.choice(["zorkling", "zorkles", "quaxhead", "quaxed"]) + dice.choice(["", "ix", "um"]))
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, int(toxic)))
+    rows += [(9000, None, "a"), (9001, "", "a"), (None, "x", "a"), (0, rows[0][1], "a")]
+    docs = documents(spark, rows)
+    lab = spark.createDataFrame(labels + [(None, 1), (77777, 1), (3, None)], "doc_id long, toxic int").withColumn("text", F.lit("zorkling"))
+    got = toxicity.toxicity(docs, lab).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(truth[r.doc_id] == r.predicted for r in held) >= 0.95 * len(held)
+    lab2 = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted((r.doc_id or -1, r.score) for r in toxicity.toxicity(docs, lab2).collect()) == sorted((r.doc_id or -1, r.score) for r in got)
+    assert {r.score for r in toxicity.toxicity(docs, lab.limit(0)).collect()} == {0.25}
+    kept = toxicity.without_toxic(docs, lab)
+    assert kept.columns == docs.columns and kept.count() < docs.count()
+
+
+def test_model_probabilities_sum_to_one():
+    """Shared backoff and class counts together are a distribution over the next byte."""
+    table = [(b"\x01a", 3, 1), (b"\x01ab", 2, 1), (b"\x01abc", 2, 0), (b"abcd", 1, 0)]
+    model = toxicity.estimate(table)
+    assert set(model.evidence) == {g for g, *_ in table} and model.word(b"zz") == 0.0
+
+
+PII_TEXTS = [
+    "mail a.b+c@mail.example.com, or x@y (no), _d@e.f@g.hi end@host.de.",
+    "ip 10.0.0.1 and 256.1.1.1 and 1.2.3.4.5.6.7.8 and 010.1.1.1",
+    "card 4111 1111 1111 1111 and 4111111111111112 and 5500-0000-0000-0004 x",
+    "call +49 (30) 1234-5678 or +1 23 or +1234567890123456 now",
+    "é ü 4111111111111111@x.yz +4915112345678",
+]
+
+
+def test_personal_data(spark, hard):
+    def plain(t):
+        out = []
+        for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+            for m in re.finditer(pattern, t):
+                d = re.sub(r"\D", "", m[0])
+                ok = kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 14 <= len(d) <= 19 and pii.luhn(d) or kind == "phone" and 10 <= len(d) <= 15
+                if ok:
+                    out.append((kind, *m.span()))
+        return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+    dice = random.Random(4)
+    noise = ["".join(dice.choice("a1.@+- 9_é(") for _ in range(60)) for _ in range(300)]
+    for t in PII_TEXTS + noise:
+        assert pii.base_spans(t) == plain(t), t
+    rows = [(20_000 + i, t, "a") for i, t in enumerate(PII_TEXTS)] + hard_rows()
+    got = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert got[20_000].n_email == len([s for s in plain(PII_TEXTS[0]) if s[0] == "email"])
+    assert got[20_002].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain(PII_TEXTS[2])).encode()).hexdigest()
+    assert pii.personal_data(hard.limit(0)).count() == 0
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"{prose(20, 900 + i)} agent{i} Nightjar of {VOCABULARY[i]} wrote to jay@example.com today {prose(10, 950 + i)}", "a") for i in range(6)]
+    rows += [(100 + i, prose(40, 700 + i) + f" wrote of {VOCABULARY[i]} today", "a") for i in range(60)]
+    rows += [(300 + i, "same words around kim@example.com every time", "a") for i in range(8)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    text = dict((i, t) for i, t, _ in rows)
+    for i in range(6):
+        assert any(text[i][int(a) : int(b)] == "Nightjar" for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k in ("removed", "generalised"))
+    assert all(got[i].n_terms == 0 for i in [*range(100, 160), *range(300, 308)])
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns
+    after = {r.doc_id: r for r in clean.collect()}
+    assert "Nightjar" not in after[0].text and "jay@" not in after[0].text and after[0].n_chars == len(after[0].text) and after[100].text == text[100]
+
+
+def test_license_scan(spark, hard):
+    model = licenses.train()
+    texts = ["All rights reserved.\nReleased under the MIT License.\nprose", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "She lost her driving license.", "the license of the restaurant"]
+    rows = [(30_000 + i, t, "a") for i, t in enumerate(texts)] + hard_rows()
+    got = {(r.doc_id, r.n_paragraphs): r for r in licenses.scan(documents(spark, rows)).collect()}
+    for i, t, _ in rows:
+        want = [(k, f) for k, line in enumerate((t or "").split("\n")) if (f := model.predict(licenses.tokens_of(line))[0]) != licenses.UNKNOWN]
+        assert [(f.paragraph, f.family) for f in got[i, len(t.split("\n")) if t else 0].findings] == want
+    found = {i - 30_000: r.families for (i, _), r in got.items() if i is not None and r.families}
+    assert found == {0: "mit,proprietary", 1: "cc-by-nc", 2: "gpl", 3: "apache"}
+    assert licenses.scan(hard.limit(0)).count() == 0
+
+
+def test_url_lists(spark):
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    entries = [("l", "block", "bad.org", "add", at(5)), ("l", "block", "bad.org", "remove", at(10)), ("l", "block", "bad.org", "add", at(20)), ("m", "allow", "good.bad.org", "add", at(1)), ("l", "block", "tie.org", "remove", at(3)), ("l", "block", "tie.org", "add", at(3)), ("l", "block", "tie.org", "add", at(3)), ("l", "block", None, "add", at(1))]
+    e = spark.createDataFrame(entries, "list string, kind string, domain string, action string, dated string").withColumn("dated", F.col("dated").cast("timestamp_ntz"))
+    captures = [(1, "http://BAD.org/x", at(4)), (2, "https://u@a.bad.org:8080/x", at(5)), (3, "http://bad.org", at(10)), (4, "http://bad.org?x", at(25)), (5, "http://good.bad.org/", at(6)), (6, "http://tie.org/", at(3)), (7, None, at(3)), (8, "nonsense", at(3)), (9, "http://bad.org/", None), (2, "https://u@a.bad.org:8080/x", at(5))]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz")).withColumn("spans", F.lit(1))
+    want = sorted([(1, "kept"), (2, "blocked"), (2, "blocked"), (3, "kept"), (4, "blocked"), (5, "allowed"), (6, "blocked"), (7, "kept"), (8, "kept"), (9, "kept")])
+    for most in (100, 0):
+        assert sorted((r.page_id, r.verdict) for r in urls.evaluate(c, e, most).collect()) == want
+    assert urls.kept(c, e.limit(0)).count() == 10 and urls.evaluate(c.limit(0), e).count() == 0
+
+
+def test_tool_calls(spark):
+    calls = [(1, "a", 1, "search", '{"q": "x", "n": 1}', []), (1, "b", 2, "search", '{"n":"1","q":"x"}', ["a"]), (1, "c", 3, "other", "{}", ["b", "zz"]), (1, "d", 4, "search", "{bad", ["e"]), (1, "e", 5, "search", '{"n": 2}', ["d"]), (2, "a", 1, "search", '{"q":"ä\\"","z":1}', []), (3, None, 1, "search", '{"q":"x"}', []), (2, "a", 1, "search", '{"q":"ä\\"","z":1}', [])]
+    results = [(1, "a", 2, "late"), (1, "a", 1, "early"), (1, "x", 9, "lost"), (2, "a", 2, 'q"é'), (2, None, 2, "no")]
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>").withColumn("level", F.lit(9))
+    r = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
+    s = spark.createDataFrame([("search", "q", "STRING", True), ("search", "n", "BIGINT", False)], "name string, field string, type string, required boolean")
+    got = {}
+    for x in toolcalls.link(c, r, s).collect():
+        got.setdefault((x.conv_id, x.call_id), []).append(x)
+    assert json.loads(got[1, "a"][0].message) == {"arguments": {"n": 1, "q": "x"}, "content": "early", "id": "a", "name": "search"}
+    assert got[1, "a"][0].message == '{"arguments":{"n":1,"q":"x"},"content":"early","id":"a","name":"search"}' and got[1, "a"][0].problems == "" and got[1, "a"][0].n_results == 2
+    assert [got[1, k][0].level for k in "abcde"] == [0, 1, 2, None, None] and [got[1, k][0].position for k in "abc"] == [1, 2, 3]
+    assert got[1, "b"][0].problems == "no result,wrong type" and got[1, "c"][0].problems == "no result,missing dependency,unknown tool"
+    assert got[1, "d"][0].problems == "no result,cycle,invalid arguments" and got[1, "e"][0].problems == "no result,cycle,missing field"
+    assert got[1, "x"][0].problems == "no call" and got[3, None][0].problems == "no identifier,no result"
+    assert len(got[2, "a"]) == 2 and got[2, "a"][0].problems == "unknown field" and json.loads(got[2, "a"][0].message)["content"] == 'q"é'
+    assert toolcalls.link(c.limit(0), r.limit(0), s).count() == 0
