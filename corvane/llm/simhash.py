@@ -160,20 +160,22 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each component, with all columns. Rows that repeat a kept doc_id go; of a component without ids one row stays."""
-    found = classes(docs)
-    keys = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keys, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    if not docs.filter("doc_id is null").isEmpty():
-        bare = fingerprint_rows(docs.filter("doc_id is null"))
-        lone = found.filter("component_id is null").groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp")
-        kept = kept.unionByName(bare.join(lone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(*docs.columns))
-    return kept
-
-
-def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """The rows with their fingerprint in `_fp`."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    return map_batches(docs, lambda b: b.append_column("_fp", pa.array([_signed(fingerprint(x)) for x in text_list(b)], pa.int64())), schema)
+    """One row of each component, with all columns: that of the least doc_id (null last), of several such rows that of the least hash of the text.
+
+    Rows are told apart by doc_id and a hash of the text, so repeated rows count as one, and texts that share an id stay apart.
+    """
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = pa.array([_signed(fingerprint(x)) for x in text_list(batch)], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("th"), values], ["doc_id", "th", "fp"])
+
+    marked = cut(map_batches(named, run, "doc_id long, th long, fp long"))
+    # the best row of each fingerprint first, so a fingerprint of a third of all rows is one row of the join
+    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "th")).alias("row"))
+    roots = components(cut(links(best.select("fp"))))
+    least = best.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    keys = least.select(F.coalesce("row.doc_id", F.lit(0)).alias("_corvane_id"), F.col("row.bare").alias("_corvane_bare"), F.col("row.th").alias("_corvane_th"))
+    keyed = docs.withColumns({"_corvane_id": F.coalesce("doc_id", F.lit(0)), "_corvane_bare": F.col("doc_id").isNull(), "_corvane_th": F.xxhash64("text")})
+    kept = keyed.join(keys, ["_corvane_id", "_corvane_bare", "_corvane_th"], "left_semi").dropDuplicates(["_corvane_id", "_corvane_bare", "_corvane_th"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
