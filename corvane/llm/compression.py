@@ -1,6 +1,6 @@
 """Quality rules by compression bands.
 
-The whole text and each chunk of a fixed number of characters are compressed with zstandard;
+The whole text and each chunk of a fixed number of bytes are compressed with zstandard;
 the ratio is original bytes to compressed bytes. A text that compresses better than the upper limit for its
 length repeats itself, one that compresses worse than the lower limit is noise. Chunks find what
 the whole hides: a text is rejected if more than `bad_share` of its chunks are outside
