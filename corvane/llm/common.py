@@ -16,6 +16,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows up to which a side with rows of bounded width may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of a batch that are Python objects at once; Spark's batches hold 10,000, which with whole texts is much memory for a worker.
+SLICE_ROWS = 1_000
+
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters that aren't blanks; null has none. Native."""
@@ -49,11 +52,17 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """One Arrow batch in, one out (or none)."""
+    """One slice of an Arrow batch in, one out (or none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if (out := function(batch)) is not None:
                 yield out
 

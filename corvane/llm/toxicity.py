@@ -15,7 +15,7 @@ sequence, not per word, and the table is bounded: above `most_grams` sequences t
 least counts go, so the model that executors get has a proven size.
 
 Defined cases: a null or empty text has no evidence and gets the curve's value at 0. Rows with
-null ids or labels aren't learned from; an id with several labels counts as toxic if any says so. Without any toxic or any ordinary
+null ids or labels aren't learned from (a null id isn't held out either); an id with several labels counts as toxic if any says so. Without any toxic or any ordinary
 row every score is 0.25. Repeated rows are learned from as often as they occur and are scored alike. An empty table gives an empty result.
 """
 
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from corvane.llm.common import map_batches, small, text_list
+from corvane.llm.common import map_batches, sliced, small, text_list
 
 ORDER, DISCOUNT, DEAD, PRIOR_WORDS, MOST_WORD = 5, 0.75, 2.0, 30, 64
-MOST_GRAMS, CALIBRATION_ROWS = 1_000_000, 20_000
+MOST_GRAMS, CALIBRATION_ROWS = 400_000, 20_000
 FOLDS, CALIBRATION_FOLD = 5, 4
 
 
@@ -71,7 +71,7 @@ class Model:
             found = sum(self.evidence[g] if g in self.evidence else self.contexts.get(g[:-1], 0.0) for g in grams(word))
             if abs(found) < DEAD:
                 found = 0.0
-            if len(self.known) > 200_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[word] = found
         return found
@@ -151,10 +151,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n0, n1): counts of byte sequences by class. Words are counted per partition first."""
+    """(gram, n0, n1): counts of byte sequences by class. Words are counted per slice of a batch first."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2_500):
             counts = (Counter(), Counter())
             for text, toxic in zip(text_list(batch), batch.column("toxic").to_pylist()):
                 counts[toxic].update(tokens(text))
@@ -189,6 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS, cali
     if not any(a for _, a, _ in table) or not any(b for *_, b in table):
         return Model({}, {}, fallback=0.25)
     model = estimate(table)
+    del table
     fitted = rows.filter(fold(F.col("doc_id")) == CALIBRATION_FOLD)
     chosen = fitted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     fitted = fitted.join(small(chosen, calibration_rows), "doc_id", "left_semi")
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row."""
     found = score(docs.select("doc_id", "text"), train(docs, labels))
-    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_evidence").alias("evidence"))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_evidence").alias("evidence"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
