@@ -11,8 +11,9 @@ curve turns this into a score.
 
 Counts cover all labelled rows of the learning folds (crc32 of the id modulo 5 is 1, 2 or 3); fold 4 fits the
 curve, on at most `calibration_rows` rows (the least by hash of the id); fold 0 is held out. Counts are kept per byte
-sequence, not per word, and the table is bounded: above `most_grams` sequences those with the
-least counts go, so the model that executors get has a proven size.
+sequence, not per word, and none is dropped. Up to `most_grams` sequences the model is made on the driver and broadcast;
+beyond that the same model stays two tables, made by aggregation and joined to the distinct words of
+the texts, so its size bounds no memory and decides no result.
 
 Defined cases: a null or empty text has no evidence and gets the curve's value at 0. Rows with
 null ids or labels aren't learned from (a null id isn't held out either); an id with several labels counts as toxic if any says so. Without any toxic or any ordinary
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from corvane.llm.common import map_batches, sliced, small, text_list
+from corvane.llm.common import cut, map_batches, n_words, sliced, small, text_list
 
 ORDER, DISCOUNT, DEAD, PRIOR_WORDS, MOST_WORD = 5, 0.75, 2.0, 30, 64
-MOST_GRAMS, CALIBRATION_ROWS = 400_000, 20_000
+#: Sequences up to which the model is broadcast; beyond it, it is joined.
+MOST_GRAMS = 400_000
+CALIBRATION_ROWS = 20_000
 FOLDS, CALIBRATION_FOLD = 5, 4
 
 
@@ -52,15 +54,20 @@ def grams(word: bytes, order: int = ORDER) -> list[bytes]:
     return out
 
 
+@dataclass
+class Curve:
+    slope: float = 1.0
+    middle: float = 0.1
+    fallback: float | None = None
+
+
 @dataclass
 class Model:
     """evidence: of sequences that a class has seen; contexts: of any other sequence after that context."""
 
     evidence: dict[bytes, float]
     contexts: dict[bytes, float]
-    slope: float = 1.0
-    middle: float = 0.1
-    fallback: float | None = None
+    curve: Curve = field(default_factory=Curve)
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -81,10 +88,14 @@ class Model:
         found = tokens(text)
         return math.fsum(map(self.word, found)) / (len(found) + PRIOR_WORDS)
 
-    def score(self, x: float) -> float:
-        if self.fallback is not None:
-            return self.fallback
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * (x - self.middle)))))
+
+@dataclass
+class Tables:
+    """The model as tables evidence (gram, value) and contexts (gram, value), for any number of sequences."""
+
+    evidence: DataFrame
+    contexts: DataFrame
+    curve: Curve = field(default_factory=Curve)
 
 
 def estimate(table: list[tuple[bytes, int, int]], order: int = ORDER, d: float = DISCOUNT) -> Model:
@@ -131,6 +142,33 @@ def estimate(table: list[tuple[bytes, int, int]], order: int = ORDER, d: float =
     return Model(evidence, contexts)
 
 
+def estimate_tables(counted: DataFrame, d: float = DISCOUNT) -> Tables:
+    """What `estimate` makes, from the same counts as a table (gram, n0, n1)."""
+    size, before = F.octet_length("gram"), lambda g: F.substring(g, F.lit(1), F.octet_length(g) - 1)
+    after = lambda g: F.substring(g, F.lit(2), F.octet_length(g))
+    suffixes = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.col("gram"), i, F.octet_length("gram")))
+    seen = counted.select(F.explode(suffixes).alias("gram")).distinct()
+    kinds = seen.filter(size > 1).groupBy(after(F.col("gram")).alias("gram")).agg(F.count(F.lit(1)).alias("kinds")).withColumn("before", before(F.col("gram")))
+    kinds = cut(kinds)
+    totals = kinds.groupBy("before").agg(F.sum("kinds").alias("total"), F.count(F.lit(1)).alias("types"))
+    # each length leans on the one below it
+    parts = kinds.join(totals, "before").select("gram", (F.greatest(F.col("kinds") - d, F.lit(0.0)) / F.col("total")).alias("own"), (d * F.col("types") / F.col("total")).alias("free"))
+    parts = cut(parts)
+    longest = parts.agg(F.max(size)).first()[0] or 0
+    shared = below = parts.filter(size == 1).select("gram", (F.col("own") + F.col("free") / 257).alias("p"))
+    for n in range(2, longest + 1):
+        below = cut(parts.filter(size == n).withColumn("_after", after(F.col("gram"))).join(below.select(F.col("gram").alias("_after"), "p"), "_after").select("gram", (F.col("own") + F.col("free") * F.col("p")).alias("p")))
+        shared = shared.unionByName(below)
+    split = counted.withColumn("before", before(F.col("gram")))
+    sums = split.groupBy("before").agg(*(f(k) for k in (0, 1) for f in (lambda k: F.sum(f"n{k}").alias(f"sum{k}"), lambda k: F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"spread{k}"))))
+    for k in (0, 1):
+        sums = sums.withColumn(f"free{k}", F.when(F.col(f"sum{k}") > 0, d * F.col(f"spread{k}") / F.col(f"sum{k}")).otherwise(1.0))
+    contexts = sums.select(F.col("before").alias("gram"), F.ln(F.col("free1") / F.col("free0")).alias("value"))
+    q = [F.when(F.col(f"sum{k}") > 0, F.greatest(F.col(f"n{k}") - d, F.lit(0.0)) / F.col(f"sum{k}") + F.col(f"free{k}") * F.col("p")).otherwise(F.col("p")) for k in (0, 1)]
+    rows = split.join(sums, "before").withColumn("_after", after(F.col("gram"))).join(shared.select(F.col("gram").alias("_after"), "p"), "_after")
+    return Tables(cut(rows.select("gram", F.ln(q[1] / q[0]).alias("value"))), cut(contexts))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and middle of a logistic curve, classes weighed alike, with a weak ridge; Newton's method."""
     scale = float(np.std(x)) or 1.0
@@ -174,52 +212,87 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def _exact(value):
+    """Sums of these don't depend on the order of rows."""
+    return value.cast("decimal(28,18)")
+
+
+def word_evidence(words: DataFrame, model: Tables) -> DataFrame:
+    """(word, value) of those distinct words (word) whose evidence counts."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = [(w, g, g[:-1]) for w in batch.column("word").to_pylist() for g in grams(w)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(zip(*pairs)) or [[]] * 3)], ["word", "gram", "before"])
+
+    parts = map_batches(words.select("word"), run, "word binary, gram binary, before binary")
+    found = parts.join(model.evidence, "gram", "left").join(model.contexts.select(F.col("gram").alias("before"), F.col("value").alias("context")), "before", "left")
+    value = F.sum(_exact(F.coalesce("value", "context", F.lit(0.0)))).cast("double")
+    return found.groupBy("word").agg(value.alias("value")).filter(F.abs("value") >= DEAD)
+
+
+def joined_evidence(docs: DataFrame, model: Tables) -> DataFrame:
+    """All columns and `_evidence`, by joins; texts are known by their digest, as equal ones have equal evidence."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            rows = [(key, w, n) for key, text in zip(batch.column("_text").to_pylist(), text_list(batch)) for w, n in Counter(tokens(text)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.string(), pa.binary(), pa.int64()))], ["_text", "word", "n"])
+
+    keyed = docs.withColumn("_text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    held = keyed.select("_text", "text").mapInArrow(run, "_text string, word binary, n long")
+    values = cut(word_evidence(held.select("word").distinct(), model))
+    # copies of a text give the same rows, once each after the distinct
+    sums = held.join(small(values), "word").distinct().groupBy("_text").agg(F.sum(_exact(F.col("value")) * F.col("n").cast("decimal(9,0)")).cast("double").alias("_sum"))
+    evidence = F.coalesce("_sum", F.lit(0.0)) / (n_words(F.col("text")) + PRIOR_WORDS)
+    return keyed.join(sums, "_text", "left").select(*(F.col(f"`{c}`") for c in docs.columns), evidence.alias("_evidence"))
+
+
+def with_evidence(docs: DataFrame, model: Model | Tables) -> DataFrame:
+    """All columns and `_evidence`."""
+    if isinstance(model, Tables):
+        return joined_evidence(docs, model)
+    handed = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column("_evidence", pa.array(map(handed.value.evidence_of, text_list(batch)), pa.float64()))
+
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())]))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | Tables:
     """Learns from labelled rows outside fold 0."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     marks = small(marks.filter(fold(F.col("_id")) != 0))
     rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
     counted = gram_counts(rows.filter(fold(F.col("doc_id")) != CALIBRATION_FOLD)).persist()
-    sizes = counted.groupBy((F.col("n0") + F.col("n1")).alias("n")).count().orderBy(F.desc("n"))
-    # one row for each distinct count, so this order is over a few thousand rows at most
-    running = F.sum("count").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-    least = sizes.select("n", running.alias("kept")).filter(F.col("kept") <= most_grams).agg(F.min("n")).first()[0]
-    table = [(bytes(g), a, b) for g, a, b in counted.filter(F.col("n0") + F.col("n1") >= F.lit(least if least is not None else 0)).collect()]
+    n, *sums = counted.agg(F.count(F.lit(1)), F.sum("n0"), F.sum("n1")).first()
+    if not all(sums):
+        counted.unpersist()
+        return Model({}, {}, Curve(fallback=0.25))
+    model = estimate([(bytes(g), a, b) for g, a, b in counted.collect()]) if n <= most_grams else estimate_tables(counted)
     counted.unpersist()
-    if not any(a for _, a, _ in table) or not any(b for *_, b in table):
-        return Model({}, {}, fallback=0.25)
-    model = estimate(table)
-    del table
     fitted = rows.filter(fold(F.col("doc_id")) == CALIBRATION_FOLD)
     chosen = fitted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     fitted = fitted.join(small(chosen, calibration_rows), "doc_id", "left_semi")
-    handed = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(map(handed.value.evidence_of, text_list(batch)), pa.float64()), batch.column("toxic")], ["x", "y"])
-
-    pairs = map_batches(fitted.select("text", "toxic"), run, "x double, y int").collect()
+    pairs = with_evidence(fitted.select("text", "toxic"), model).select("_evidence", "toxic").collect()
     x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
     if len(pairs) and 0 < y.sum() < len(y):
-        model.slope, model.middle = fit_curve(x, y)
+        model.curve.slope, model.curve.middle = fit_curve(x, y)
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns, and `_evidence` and `_score`. No shuffle."""
-    handed = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType()), T.StructField("_score", T.DoubleType())])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [handed.value.evidence_of(t) for t in text_list(batch)]
-        return batch.append_column("_evidence", pa.array(x, pa.float64())).append_column("_score", pa.array(map(handed.value.score, x), pa.float64()))
-
-    return map_batches(docs, run, schema)
+def score(docs: DataFrame, model: Model | Tables) -> DataFrame:
+    """All columns, and `_evidence` and `_score`. No shuffle while the model is broadcast."""
+    found, curve = with_evidence(docs, model), model.curve
+    if curve.fallback is not None:
+        return found.withColumn("_score", F.lit(curve.fallback))
+    at = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), curve.slope * (F.col("_evidence") - curve.middle)))
+    return found.withColumn("_score", 1 / (1 + F.exp(-at)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row."""
-    found = score(docs.select("doc_id", "text"), train(docs, labels))
+    found = score(docs.select("doc_id", "text"), train(docs, labels, most_grams))
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_evidence").alias("evidence"))
 
 

@@ -197,6 +197,22 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def test_toxicity_keeps_every_sequence(spark):
+    """A model too large to broadcast is joined: no sequence goes, and scores stay what they are."""
+    rows = [(i, prose(30, i) + (" zorkling quaxhead" if i % 4 == 0 else ""), "a") for i in range(200)]
+    rows += [(9000, None, "a"), (9001, "", "a"), (None, "zorkling é", "a"), (0, rows[0][1], "a"), (0, rows[0][1], "a"), (9002, "x" * 200 + " quaxhead quaxhead", "a")]
+    docs = documents(spark, rows)
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    whole, joined = toxicity.train(docs, lab), toxicity.train(docs, lab, most_grams=0)
+    for part in ("evidence", "contexts"):
+        got = {bytes(r.gram): r.value for r in getattr(joined, part).collect()}
+        want = getattr(whole, part)
+        assert got.keys() == want.keys() and len(got) > 300 and all(abs(got[g] - want[g]) < 1e-9 for g in got)
+    found = [sorted((r.doc_id or -1, round(r._score, 7), round(r._evidence, 9)) for r in toxicity.score(docs, m).collect()) for m in (whole, joined)]
+    assert found[0] == found[1] and len(found[0]) == len(rows) and any(e for *_, e in found[0])
+    assert toxicity.score(docs, joined).columns[:-2] == docs.columns
+
+
 def test_model_probabilities_sum_to_one():
     """Shared backoff and class counts together are a distribution over the next byte."""
     table = [(b"\x01a", 3, 1), (b"\x01ab", 2, 1), (b"\x01abc", 2, 0), (b"abcd", 1, 0)]
