@@ -3,13 +3,13 @@
 The entities to protect are the addresses and numbers that the base patterns find. A term
 reveals an entity as far as their pointwise mutual information reaches the entity's own information
 content, both estimated over the whole corpus: PMI = log2(n(t,e) * N / (n(t) * n(e))) against IC = log2(N / n(e)).
-n(t,e) counts the distinct surroundings (the words just before and after the term) in which the
-term occurs near the entity, so copies and near copies of one passage count once; n(t) and n(e) count documents. A term seen with an entity in at least `support` surroundings is
+All four count distinct documents: rows with the same words, case aside, are one, so copies neither make evidence nor hide it,
+while form letters that differ anywhere count one by one. A term seen near an entity in at least `support` distinct documents is
 generalised (to a class of term) from `generalise` on and removed from `remove` on, in every document that holds the entity.
 
 Defined cases: a null text is empty. Spans of one kind don't overlap; spans of different kinds
-may, and sanitising replaces their union. Repeated rows count as documents each but add no context, and get equal
-results. Rows without an id keep their base spans and get no term spans. An empty table gives an empty result.
+may, and sanitising replaces their union. Repeated rows count as one document, and get equal
+results. Rows without an id count as evidence, keep their base spans and get no term spans. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import cut, map_batches, small, text_list, words
+from corvane.llm.packing import cluster_of
 
 KINDS = ("email", "ip", "card", "phone")
 AROUND, SUPPORT, GENERALISE, REMOVE = 12, 3, 0.6, 0.85
@@ -88,41 +89,36 @@ def term(word: str) -> str:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, place) of each word near an entity; place is a hash of the words beside it. An entity without words has one row without a term."""
+    """(doc_id, copy, entity, term) of the words near each entity; copy tells distinct documents apart. An entity without words has one row without a term."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_list(batch)):
+        for doc_id, copy, text in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), text_list(batch)):
             spans = base_spans(text)
-            if not spans or doc_id is None:
-                continue
             blocked = [(a, b) for _, a, b in spans]
             for kind, a, b in spans:
                 near = [*list(_TERM.finditer(text, max(0, a - 40 * AROUND), a))[-AROUND:], *list(_TERM.finditer(text, b, b + 40 * AROUND))[:AROUND]]
-                named = ["" if any(x < m.end() and m.start() < y for x, y in blocked) else term(m[0]) for m in near]
-                for before, word, after in zip(["", *named], named, [*named[1:], ""]):
-                    if len(word) > 2:
-                        digest = hashlib.blake2b(f"{before} {after}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                        rows.append((doc_id, entity(kind, text[a:b]), word, int.from_bytes(digest, "big", signed=True)))
-                if not any(len(w) > 2 for w in named):
-                    rows.append((doc_id, entity(kind, text[a:b]), None, None))
+                named = {term(m[0]) for m in near if not any(x < m.end() and m.start() < y for x, y in blocked)}
+                rows += [(doc_id, copy, entity(kind, text[a:b]), word) for word in sorted(w for w in named if len(w) > 2) or [None]]
         columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["doc_id", "entity", "term", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "copy", "entity", "term"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, entity string, term string, place long")
+    return map_batches(docs.select("doc_id", cluster_of(F.col("text")).alias("copy"), "text"), run, "doc_id long, copy long, entity string, term string")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure): terms at or over the lower threshold."""
-    total = docs.count()
-    once = found.filter("term is not null").select("entity", "term", "place").distinct()
+    copies = cut(docs.groupBy(cluster_of(F.col("text")).alias("copy")).agg(F.count(F.lit(1)).alias("rows")))
+    total = copies.count()
+    once = found.filter("term is not null").select("entity", "term", "copy").distinct()
     joint = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     joint = cut(joint)
-    held = found.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    held = found.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = joint.select("term").distinct()
-    # document frequency over the whole corpus, of the terms in question
-    in_docs = docs.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(F.btrim(w, F.lit(_EDGE)))))).alias("term"))
-    spread = in_docs.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # document frequency over the whole corpus, of the terms in question; the rows of one document share its weight
+    parted = docs.select(cluster_of(F.col("text")).alias("copy"), F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(F.btrim(w, F.lit(_EDGE))))).alias("terms"))
+    weighed = parted.join(small(copies.filter("rows > 1")), "copy", "left").select(F.explode("terms").alias("term"), (1 / F.coalesce("rows", F.lit(1))).alias("weight"))
+    spread = weighed.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
     n = F.lit(float(max(1, total)))
     both = joint.join(held, "entity").join(spread, "term")
     pmi = F.log2(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.greatest("n_entity", "n_both")))
@@ -134,7 +130,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     """All columns and `_terms`, the disclosing terms of the entities that the row holds (null: none)."""
     found = cut(contexts(docs))
     shown = cut(disclosing(docs, found))
-    held = found.select("doc_id", "entity").distinct()
+    held = found.filter("doc_id is not null").select("doc_id", "entity").distinct()
     per_doc = cut(held.join(small(shown), "entity").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("term", "disclosure")).alias("_terms")))
     return docs.join(small(per_doc), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
 

@@ -267,6 +267,20 @@ def test_disclosing_terms(spark):
     assert "Nightjar" not in after[0].text and "jay@" not in after[0].text and after[0].n_chars == len(after[0].text) and after[100].text == text[100]
 
 
+def test_disclosure_counts_distinct_documents(spark):
+    """Form letters with the same words beside a term don't hide it, nor do copies change what it discloses."""
+    letters = [(i, f"{prose(30, 800 + i)} please ask Nightjar at jay@example.com about {prose(30, 850 + i)}", "a") for i in range(6)]
+    others = [(100 + i, prose(40, 700 + i), "a") for i in range(60)]
+    copied = [(1000 + i, letters[0][1].replace("please ask", "Please\nASK") if i % 2 else letters[0][1], "a") for i in range(20)] + [(2000 + i, others[0][1], "a") for i in range(20)]
+    found = []
+    for rows in (letters + others, letters + others + copied):
+        docs = documents(spark, rows)
+        found.append({(r.entity, r.term): round(r.disclosure, 9) for r in pii.disclosing(docs, pii.contexts(docs)).collect()})
+    assert found[0]["email:jay@example.com", "nightjar"] == 1.0 and found[0] == found[1]
+    got = {r.doc_id: r.text for r in pii.sanitised(documents(spark, letters + others)).collect()}
+    assert all("Nightjar" not in got[i] for i in range(6)) and all(got[i] == t for i, t, _ in others)
+
+
 def test_license_scan(spark, hard):
     model = licenses.train()
     texts = ["All rights reserved.\nReleased under the MIT License.\nprose", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "She lost her driving license.", "the license of the restaurant"]
