@@ -17,33 +17,39 @@ each get a row. Empty tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corvane.llm.common import cut, small
 
-MOST_ROUNDS, BLOCK = 10_000, 1024
+BLOCK = 1024
 KEY = ["conv_id", "call_id"]
 
 
-def levels(calls: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(conv_id, call_id, level) of each distinct identifier that can be ordered; level 0 waits for nothing."""
+def levels(calls: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(conv_id, call_id, level) of each distinct identifier that can be ordered; level 0 waits for nothing. Goes on until nothing is left; raises if that takes most_rounds, where given."""
     nodes = calls.filter("conv_id is not null and call_id is not null")
     edges = nodes.select(*KEY, F.explode("after").alias("waits_for")).filter("waits_for is not null").distinct()
     there = nodes.select("conv_id", F.col("call_id").alias("waits_for")).distinct()
     left = cut(edges.join(there, ["conv_id", "waits_for"], "left_semi").select(*KEY, "waits_for"))
     front = cut(nodes.select(*KEY).distinct().join(left.select(*KEY), KEY, "left_anti").withColumn("level", F.lit(0)))
     done = front
-    for level in range(1, most_rounds):
+    for level in count(1):
         if left.isEmpty():
             break
+        if level == most_rounds:
+            raise RuntimeError(f"levels did not settle in {most_rounds} rounds")
         ready = front.select("conv_id", F.col("call_id").alias("waits_for"))
         rest = cut(left.join(ready, ["conv_id", "waits_for"], "left_anti").select(*KEY, "waits_for"))
         front = cut(left.select(*KEY).distinct().join(rest.select(*KEY), KEY, "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break  # only cycles are left
         done, left = done.unionByName(front), rest
+        if level % 100 == 0:
+            done = cut(done)  # a long chain would make a plan of as many unions
     return done
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,12 +51,14 @@ def monotone(rows: DataFrame, by: list[str], order: list[str], time: str) -> Dat
     return rows.withColumn("_place", place).withColumn("_lead", micros - F.col("_place")).withColumn(time, F.timestamp_micros(top + F.col("_place"))).drop("_place", "_lead")
 
 
-def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(root, id): everything reachable along edges (src, dst) from start (root, id), itself included; cycles end by the visited set."""
+def closure(edges: DataFrame, start: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(root, id): everything reachable along edges (src, dst) from start (root, id), itself included; cycles end by the visited set. Raises if that takes most_rounds, where given."""
     ensure_checkpoint_dir(edges.sparkSession)
     seen = start.select("root", "id").distinct().checkpoint(eager=True)
     front = seen
-    for _ in range(most_rounds):
+    for n in count():
+        if n == most_rounds:
+            raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
         step = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id")).distinct()
         front = step.join(seen, ["root", "id"], "left_anti").checkpoint(eager=True)
         if front.isEmpty():

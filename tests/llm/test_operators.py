@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import compression, fingerprints, licenses, mixing, pii, simhash, toolcalls, toxicity, urls
 from corvane.llm.graph import components
+from corvane.operators import memory
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DICE = random.Random(3)
@@ -323,3 +324,15 @@ def test_tool_calls(spark):
     assert got[1, "x"][0].problems == "no call" and got[3, None][0].problems == "no identifier,no result"
     assert len(got[2, "a"]) == 2 and got[2, "a"][0].problems == "unknown field" and json.loads(got[2, "a"][0].message)["content"] == 'q"é'
     assert toolcalls.link(c.limit(0), r.limit(0), s).count() == 0
+
+
+def test_long_chains_are_whole_or_raise(spark):
+    calls = spark.createDataFrame([(1, str(i), [str(i - 1)] if i else []) for i in range(5)], "conv_id long, call_id string, after array<string>")
+    assert sorted((int(r.call_id), r.level) for r in toolcalls.levels(calls).collect()) == [(i, i) for i in range(5)]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    start = spark.createDataFrame([(0, 0)], "root long, id long")
+    assert sorted(r.id for r in memory.closure(edges, start).collect()) == list(range(5))
+    with pytest.raises(RuntimeError):
+        toolcalls.levels(calls, most_rounds=3)
+    with pytest.raises(RuntimeError):
+        memory.closure(edges, start, most_rounds=3)
