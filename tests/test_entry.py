@@ -52,3 +52,10 @@ def test_import_without_the_llm_part(tmp_path, gone):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90, len(q); assert 'pipeline' not in q; e.oracle_sql()"
     found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert found.returncode == 0, found.stderr
+
+
+def test_packing_options_hold_every_part(spark):
+    from corvane.plans.packings import options
+
+    rows, _ = options(spark, SMALL)
+    assert rows.filter("level <> 'omit'").count() == spark.read.parquet(f"{SMALL}/part.parquet").count()
