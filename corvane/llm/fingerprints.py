@@ -6,22 +6,28 @@ sketch of a part, a document or a whole corpus is made in the same way, whatever
 arrays of hashes inside the scan, no exploded shingles, no Python.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint, alike to another
-empty one (1.0) and unlike all others (0.0). A text under five words is one shingle. Repeated
-rows with equal ids and texts are adjacent in the order of documents (equal ids are ordered by text).
-A null id comes last. An empty table gives an empty result. Other columns are ignored.
+empty one (1.0) and unlike all others (0.0). A text under five words is one shingle. Equal ids are ordered by a hash of the text, so
+an id that many rows share is spread over many blocks; only rows with equal id and text are in one. Any long is an id, however far
+apart. A null id comes last. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corvane.llm.common import small, words
+from corvane.llm.common import cut, small, words
 
 SHINGLE, K, DIGITS = 5, 128, 12
-#: Documents are put in order in blocks of ids; so many blocks at most, so their table is small.
-MOST_BLOCKS, LEAST_BLOCK = 100_000, 128
+#: Documents are put in order in blocks of about so many rows; with so many blocks at most, their bounds are a table of bounded size.
+BLOCK_ROWS, MOST_BLOCKS = 128, 50_000
+#: Rows of the sample for each bound: they decide how even blocks are, never a result.
+BOUND_ROWS = 20
 
 
 def hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -85,39 +91,71 @@ def as_text(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), DIGITS, "0")), ""))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the next row by descending doc_id (after the last, the first).
-
-    Ids fall into blocks of equal width; a window finds the next row within a block, and
-    the first row of each block is handed to the block before it. There are at most MOST_BLOCKS
-    blocks, so their first ids are a table of bounded size, which is made from the id column alone.
+def _order(text: str) -> list[Column]:
+    """The columns of the order of documents: descending id, null last, then a hash of the text. No arithmetic on ids, so any long will do."""
+    return [F.col("doc_id").isNull().alias("bare"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.xxhash64(text).alias("tie")]
+
+
+def _bounds(keys: DataFrame, n: int, block_rows: int, most_blocks: int) -> list:
+    """Keys at which blocks of about equal numbers of rows begin, ascending; from a sample by hash that holds a bounded number of rows."""
+    blocks = min(most_blocks, -(-n // block_rows))
+    if blocks < 2:
+        return []
+    every = max(1, n // (BOUND_ROWS * blocks))
+    seen = cut(keys.filter(F.pmod(F.xxhash64("bare", "down", "tie", F.lit("bound")), F.lit(every)) == 0).distinct())
+    m = seen.count()
+    place = F.row_number().over(Window.orderBy("bare", "down", "tie"))
+    step = max(1, -(-m // blocks))
+    return seen.withColumn("at", place).filter((F.col("at") % step == 0) & (F.col("at") < m)).select("bare", "down", "tie").orderBy("bare", "down", "tie").collect()
+
+
+def _block(bounds: list) -> Column:
+    """The number of bounds at or below the row's key, found in two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    kind = "array<struct<bare:boolean,down:bigint,tie:bigint>>"
+    wide = math.isqrt(len(bounds) - 1) + 1
+    listed = lambda rows: F.from_json(F.lit(json.dumps([{"bare": r[0], "down": r[1], "tie": r[2]} for r in rows])), kind)
+    own = F.struct("bare", "down", "tie")
+    below = lambda values: F.size(F.filter(values, lambda x: x <= own))
+    # a constant that the optimizer folds once; the heads of runs of bounds first, then the run
+    runs = F.from_json(F.lit(json.dumps([[{"bare": r[0], "down": r[1], "tie": r[2]} for r in bounds[i : i + wide]] for i in range(0, len(bounds), wide)])), f"array<{kind}>")
+    head = below(listed(bounds[::wide]))
+    return F.when(head == 0, 0).otherwise((head - 1) * wide + below(F.get(runs, head - 1))).cast("long")
+
+
+def with_next(docs: DataFrame, made: Callable[[DataFrame], DataFrame] = lambda rows: rows, columns: tuple[str, ...] = ("text",), block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """The rows (doc_id, text) in what `made` makes of them, with next_<column> of the next row by descending doc_id (after the last, the first).
+
+    The order is cut into blocks of about equal numbers of rows, whatever the ids: keys (id and a hash of the text) are written once,
+    bounds are taken from a sample of them. The first row of each block is also handed to the block before it, so a window within blocks
+    finds every next row. Texts are shuffled once; `made` runs behind that shuffle, so what it makes isn't shuffled.
     """
-    ids = docs.select("doc_id")
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(LEAST_BLOCK, -(-((high or 0) - (low or 0) + 1) // MOST_BLOCKS))
-    # blocks count up along the order; ids that are null have a block of their own at the end
-    block = F.when(F.col("doc_id").isNull(), F.lit(MOST_BLOCKS + 1)).otherwise(F.floor((F.lit(high or 0) - F.col("doc_id")) / width)).cast("long")
-    heads = ids.select(block.alias("block"), "doc_id").groupBy("block").agg(F.max("doc_id").alias("head"))
+    keyed = docs.select("doc_id", "text", *_order("text"))
+    keys = cut(keyed.select("bare", "down", "tie"))
+    bounds = _bounds(keys, keys.count(), block_rows, most_blocks)
+    block = _block(bounds)
+    heads = keys.withColumn("block", block).groupBy("block").agg(F.min(F.struct("bare", "down", "tie")).alias("head"))
+    # one row a block
     order = Window.orderBy("block")
-    first = F.first("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     last = F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    handed = heads.select(F.col("block").alias("_own"), "head", F.coalesce(F.lag("block").over(order), last).alias("_to"), (F.col("block") == first).alias("_wraps"))
-    rows = docs.select("doc_id", *columns, block.alias("_own"))
-    # the head row of each block, kept for the block before it; if several rows share the head id the least text is first
-    joined = rows.join(small(handed, MOST_BLOCKS + 2), "_own")
+    handed = heads.select(F.col("block").alias("_own"), "head", F.coalesce(F.lag("block").over(order), last).alias("_to"))
+    joined = keyed.withColumn("_own", block).join(small(handed, len(bounds) + 1), "_own")
     places = F.array(F.struct(F.col("_own").alias("block"), F.lit(False).alias("guest")), F.struct(F.col("_to").alias("block"), F.lit(True).alias("guest")))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head"))
-    spread = joined.select("doc_id", *columns, F.explode(F.when(is_head, places).otherwise(F.slice(places, 1, 1))).alias("_place"))
-    along = Window.partitionBy("_place.block").orderBy(F.col("_place.guest"), F.col("doc_id").desc_nulls_last(), *columns[:1])
+    is_head = F.struct("bare", "down", "tie") == F.col("head")
+    spread = joined.select("doc_id", "text", "bare", "down", "tie", F.explode(F.when(is_head, places).otherwise(F.slice(places, 1, 1))).alias("_place")).select("doc_id", "text", "bare", "down", "tie", "_place.*")
+    rows = made(spread.repartition("block"))
+    along = Window.partitionBy("block").orderBy("guest", "bare", "down", "tie")
     ahead = [F.lead(F.struct(c)).over(along).alias(f"_next_{c}") for c in columns]
-    found = spread.select("doc_id", *columns, "_place", *ahead).filter("not _place.guest")
-    return found.select("doc_id", *columns, *(F.col(f"_next_{c}.{c}").alias(f"next_{c}") for c in columns))
+    kept = [c for c in rows.columns if c not in ("bare", "down", "tie", "block", "guest")]
+    found = rows.select(*kept, "guest", *ahead).filter("not guest")
+    return found.select(*kept, *(F.col(f"_next_{c}.{c}").alias(f"next_{c}") for c in columns))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Each row's fingerprint, and that of its edited text: the last third replaced by the beginning of the next document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = with_next(texts.withColumn("sketch", sketch(F.col("text"), k)), ["text", "sketch"])
+    made = with_next(texts, lambda rows: rows.withColumn("sketch", sketch(F.col("text"), k)), ("text", "sketch"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))

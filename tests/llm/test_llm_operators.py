@@ -41,24 +41,54 @@ def hard(spark):
     return documents(spark, hard_rows()).persist()
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_sketch(text, k=128):
+    words = WORD.findall(text)
+    chain = lambda start, values: __import__("functools").reduce(lambda seed, v: xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed), values, start)
+    each = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    if len(words) >= 5:
+        found = {chain(42, each[i : i + 5]) for i in range(len(words) - 4)}
+    else:
+        found = {xxhash.xxh64_intdigest(" ".join(words).encode(), xxhash.xxh64_intdigest(b"short", 42))} if words else set()
+    return sorted({x & ((1 << 48) - 1) for x in found})[:k]
+
+
+def plain_likeness(a, b, k=128):
+    union = sorted({*a, *b})[:k]
+    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+
 def test_fingerprints(spark, hard):
-    got = fingerprints.fingerprints(hard).collect()
-    rows = sorted(hard_rows(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    assert len(got) == len(rows)
-    by = {}
-    for (i, t, _), (_, after, _) in zip(rows, rows[1:] + rows[:1]):
-        t, after = t or "", after or ""
-        k = len(t) // 3
-        by.setdefault(i, set()).add((len(t), hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()))
-    for r in got:
-        assert (r.n_chars, r.edited_sha256) in by[r.doc_id]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    prints = {r.doc_id: r for r in got}
-    assert prints[1].fingerprint == prints[2].fingerprint and prints[2].near_next == 1.0 and prints[4].fingerprint == "" and prints[300].near_next < 0.1
-    sets = {i: {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t, _ in rows if (w := WORD.findall(t or ""))}
-    for i, s in sets.items():
-        assert abs(prints[i].n_shingles - len(s)) <= 0.4 * len(s)
-    assert fingerprints.fingerprints(hard.limit(0)).count() == 0
+    wide = [(2**63 - 1, prose(90, 41), "a"), (-(2**63), prose(90, 42), "a"), (10**15, prose(60, 43), "a"), (None, prose(40, 44), "a"), (None, "", "a"), *((777, prose(30, 60 + i), "a") for i in range(12))]
+    rows = [(i, t or "") for i, t, _ in hard_rows() + wide]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        own, changed, ahead = plain_sketch(t), plain_sketch(edited), plain_sketch(after)
+        digits = lambda s: "".join(f"{x:012x}" for x in s)
+        want.append((i is None, i or 0, len(t), hashlib.sha256(edited.encode()).hexdigest(), digits(own), digits(changed), round(plain_likeness(own, changed), 9), round(plain_likeness(own, ahead), 9)))
+    docs = documents(spark, hard_rows() + wide)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = [(r.doc_id is None, r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
+    # small blocks: heads are handed on from block to block, and no block is large
+    follow = sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.next_text) for r in fingerprints.with_next(texts, block_rows=4).collect()))
+    assert follow == sorted((i is None, i or 0, t, after) for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]))
+    assert fingerprints.fingerprints(hard.limit(0)).count() == 0 and fingerprints.fingerprints(hard.limit(1)).first().near_next == 1.0
+
+
+def test_blocks_are_even_whatever_the_ids(spark):
+    """Clustered, repeated and null ids make no large block."""
+    ids = "case when id < 700 then id when id < 1400 then 5000000000000000000 + id when id < 2100 then 77 when id < 2800 then null else -9000000000000000000 + id end"
+    keyed = spark.range(3000).selectExpr(f"{ids} as doc_id", "concat('text ', id) as text")
+    keys = keyed.select(*fingerprints._order("text"))
+    sizes = [r["count"] for r in keys.groupBy(fingerprints._block(fingerprints._bounds(keys, 3000, 50, 1000))).count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 200
 
 
 def test_sketches_merge_and_estimate(spark):
