@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 #: The six characters that part words: space and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Rows up to which a side with rows of bounded width may be broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side may be broadcast; beyond either, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 #: Rows of a batch that are Python objects at once; Spark's batches hold 10,000, which with whole texts is much memory for a worker.
 SLICE_ROWS = 1_000
@@ -32,11 +33,12 @@ def n_words(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this machine only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
+    """The shared folder that the cluster names. Only where Spark runs within one process may a folder of this machine stand in."""
+    if current := spark.sparkContext.getCheckpointDir():
         return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -47,9 +49,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast if its counted rows are within the bound; else the plain side, which is joined by shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+def width(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+
+    def of(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(c)))
+        return F.lit(8)
+
+    return sum(map(of, df.schema.fields), F.lit(8)).cast("long")
+
+
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a side for broadcast if its rows and bytes, counted here, are within the bounds; else the plain side, which is joined by shuffle.
+
+    rows: their number or its bound, where it is known and rows are of fixed width.
+    """
+    n, size = (rows, 0) if rows is not None else df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

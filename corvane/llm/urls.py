@@ -6,11 +6,11 @@ active when it was fetched: an entry for a domain covers its subdomains, and the
 at equal labels an allowing list beats a blocking one.
 
 Intervals are matched to distinct hosts, not to captures: each host gets one array of its intervals,
-and captures are joined to their host's row. That side is broadcast if its counted size is within a
-bound; beyond it the join shuffles, with captures salted so that a host with a third of them is spread.
+and captures are joined to their host's row. That side is broadcast if its counted rows and bytes are within
+bounds; beyond it the join shuffles, with captures salted so that a host with a third of them is spread.
 
 Defined cases: a null or malformed url has no host and is kept with no hit; so is a capture without a fetch
-time. Entries without domain, list, action or date are ignored. Entries of one list, domain and instant: adding wins; equal entries
+time. Entries without domain, list, date, or an action and a kind that is known are ignored. Entries of one list, domain and instant: adding wins; equal entries
 count once. Repeated captures get equal results. Empty lists keep everything; no captures, no rows. Other columns of captures are ignored.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corvane.llm.common import small
+from corvane.llm.common import BROADCAST_BYTES, cut, width
 
 MOST_HOSTS, SALTS = 100_000, 32
 
@@ -40,7 +40,7 @@ def suffixes(h: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, domain, valid_from, valid_to) from dated entries (list, kind 'block' or 'allow', domain, action 'add' or 'remove', dated)."""
-    clean = entries.select("list", "kind", F.lower("domain").alias("domain"), "action", "dated").filter("list is not null and domain is not null and dated is not null and action in ('add', 'remove')")
+    clean = entries.select("list", "kind", F.lower("domain").alias("domain"), "action", "dated").filter("list is not null and domain is not null and dated is not null and action in ('add', 'remove') and kind in ('block', 'allow')")
     at = clean.groupBy("list", "kind", "domain", "dated").agg(F.max(F.col("action") == "add").alias("added"))
     along = Window.partitionBy("list", "kind", "domain").orderBy("dated")
     turns = at.withColumn("was", F.lag("added").over(along)).filter("added <> coalesce(was, false)")
@@ -52,11 +52,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, most_hosts: int = MOST_HOS
     rows = captures.select("page_id", host(F.col("url")).alias("host"), "fetched_at")
     hosts = rows.select("host").filter("host is not null").distinct()
     keys = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
-    spans = keys.join(intervals(entries), "domain").groupBy("host").agg(
+    spans = cut(keys.join(intervals(entries), "domain").groupBy("host").agg(
         F.collect_list(F.struct(F.size(F.split("domain", r"\.")).alias("labels"), (F.col("kind") == "allow").alias("allows"), "domain", "list", "valid_from", "valid_to")).alias("spans")
-    )
-    n = spans.count()
-    if n <= most_hosts:
+    ))
+    n, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(width(spans)), F.lit(0))).first()
+    if n <= most_hosts and size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(spans), "host", "left")
     else:
         salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
