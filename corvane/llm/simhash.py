@@ -6,8 +6,9 @@ of N/256 fingerprints, so a posting list here stands for three positions at once
 position triples of TRIPLES meet every choice of four positions, hence every pair that shares
 four positional bytes shares a list of about N/2^24. Within a list the shared positional
 bytes of each pair are tallied, pairs below the guaranteed minimum are dropped, and the rest
-are verified by counting differing bits. Nothing is capped; a list beyond `hot` fingerprints is
-searched by flipping up to two of its 40 free bits on either side, which is linear in the list.
+are verified by counting differing bits. Nothing is capped; a list beyond `hot` fingerprints, which would be quadratic, is
+searched by flipping up to two of its 40 free bits on either side, which is linear in the list and finds the same links.
+Near copies that differ in more than four bits are no links.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other. Equal
 fingerprints collapse before the index, so copies cost one key. A null doc_id counts as larger than any id
@@ -24,9 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from corvane.llm.common import cut, map_batches, text_list
+from corvane.llm.common import cut, map_batches, small, text_list
 from corvane.llm.graph import components
 
 SHINGLE, BITS, LINK_BYTES = 4, 4, 4
@@ -113,7 +113,9 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         "fp",
         F.explode(F.array(*(F.struct(F.lit(i).alias("triple"), F.col("fp").bitwiseAND(F.lit(_byte_mask(t))).alias("bytes")) for i, t in enumerate(TRIPLES)))).alias("key"),
     ).select("fp", "key.*")
-    listed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("triple", "bytes"))).filter("n > 1")
+    # lists are counted by aggregation first, so a list of a third of all fingerprints is never in one task
+    hot_lists = cut(keyed.groupBy("triple", "bytes").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("triple", "bytes"))
+    is_hot = small(hot_lists)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("fps")
@@ -133,11 +135,11 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         pairs = [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)]
         return pa.RecordBatch.from_arrays(pairs, ["a", "b"])
 
-    lists = listed.filter(F.col("n") <= hot).groupBy("triple", "bytes").agg(F.collect_list("fp").alias("fps")).select("fps")
+    lists = keyed.join(is_hot, ["triple", "bytes"], "left_anti").groupBy("triple", "bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
     found = map_batches(lists, run, "a long, b long")
     bits = F.get(F.array(*(F.array(*map(F.lit, x)) for x in _free_bits())), F.col("triple"))
     pairs = F.explode(F.expr("concat(array(struct(0 as i, 0 as j)), flatten(transform(sequence(1, 40), j -> transform(sequence(0, j - 1), i -> struct(i, j)))))"))
-    flipped = listed.filter(F.col("n") > hot).select("triple", "fp", bits.alias("bits"), pairs.alias("p"))
+    flipped = keyed.join(is_hot, ["triple", "bytes"], "left_semi").select("triple", "fp", bits.alias("bits"), pairs.alias("p"))
     flipped = flipped.select("triple", "fp", F.col("fp").bitwiseXOR(F.get("bits", F.col("p.i"))).bitwiseXOR(F.get("bits", F.col("p.j"))).alias("variant"))
     least = flipped.groupBy("triple", "variant").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = flipped.join(least, ["triple", "variant"]).select(F.col("fp").alias("a"), "b").filter("a <> b")
