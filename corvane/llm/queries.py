@@ -69,19 +69,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of conversations, as the table holds none.
 
-    An assistant's turn is a call named by a hash of its text, its arguments are the text's first words and figures,
+    An assistant's turn is a call named by a hash of its text, its arguments are the whole text and figures,
     with faults in some; a third of the calls wait for the one before. The turn after it is its result.
     """
     d = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 6), 16, 10).cast("int")
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), d.alias("d"))
     identifier = lambda shift: F.concat(F.lit("call_"), (F.col("turn") + shift).cast("string"))
-    # letters only, so the words need no escapes
-    query = F.substring(F.regexp_replace("text", r"[^A-Za-z]+", " "), 1, 40)
+    query = toolcalls.quoted(F.col("text"))
     arguments = (
-        F.when(F.col("d") % 11 == 0, F.concat(F.lit('{"query":"'), query))
-        .when(F.col("d") % 7 == 0, F.concat(F.lit('{"limit": "many", "query": "'), query, F.lit('"}')))
+        F.when(F.col("d") % 11 == 0, F.concat(F.lit('{"query":'), query))
+        .when(F.col("d") % 7 == 0, F.concat(F.lit('{"limit": "many", "query": '), query, F.lit("}")))
         .when(F.col("d") % 5 == 0, F.concat(F.lit('{"limit": '), (F.col("d") % 50).cast("string"), F.lit("}")))
-        .otherwise(F.concat(F.lit('{"query": "'), query, F.lit('", "limit": '), (F.col("d") % 50).cast("string"), F.lit(', "deep": {"b": [1, true], "a": null}}')))
+        .otherwise(F.concat(F.lit('{"query": '), query, F.lit(', "limit": '), (F.col("d") % 50).cast("string"), F.lit(', "deep": {"b": [1, true], "a": null}}')))
     )
     name = F.get(F.array(*map(F.lit, ("search", "lookup", "other"))), F.col("d") % 3)
     after = F.when(F.col("d") % 3 == 0, F.array(identifier(-2))).otherwise(F.array().cast("array<string>"))

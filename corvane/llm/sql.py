@@ -60,7 +60,7 @@ TOOLCALLS = r"""
 WITH RECURSIVE turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, concat('0x', substr(md5(coalesce(text, '')), 1, 6))::UBIGINT::BIGINT AS d FROM conversations
 ), calls AS (
-  SELECT *, 'call_' || turn AS call_id, ['search', 'lookup', 'other'][1 + d % 3] AS name, substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 40) AS q,
+  SELECT *, 'call_' || turn AS call_id, ['search', 'lookup', 'other'][1 + d % 3] AS name, to_json(text)::VARCHAR AS q,
          CASE WHEN d % 11 = 0 THEN 'bad' WHEN d % 7 = 0 THEN 'many' WHEN d % 5 = 0 THEN 'limit' ELSE 'whole' END AS shape
   FROM turns WHERE role = 'assistant'
 ), results AS (
@@ -81,8 +81,8 @@ SELECT conv AS conv_id, id AS call_id, level, position, name, coalesce(n, 0)::BI
     CASE WHEN name <> 'other' AND shape = 'limit' THEN 'missing field' END, CASE WHEN name <> 'other' AND shape = 'many' THEN 'wrong type' END,
     CASE WHEN name = 'lookup' AND shape = 'whole' THEN 'unknown field' END) END AS problems,
   '{' || concat_ws(',',
-    CASE shape WHEN 'many' THEN '"arguments":{"limit":"many","query":"' || q || '"}' WHEN 'limit' THEN '"arguments":{"limit":' || d % 50 || '}'
-      WHEN 'whole' THEN '"arguments":{"deep":{"a":null,"b":[1,true]},"limit":' || d % 50 || ',"query":"' || q || '"}' END,
+    CASE shape WHEN 'many' THEN '"arguments":{"limit":"many","query":' || q || '}' WHEN 'limit' THEN '"arguments":{"limit":' || d % 50 || '}'
+      WHEN 'whole' THEN '"arguments":{"deep":{"a":null,"b":[1,true]},"limit":' || d % 50 || ',"query":' || q || '}' END,
     CASE WHEN content IS NOT NULL THEN '"content":' || to_json(content)::VARCHAR END, '"id":"' || id || '"', CASE WHEN name IS NOT NULL THEN '"name":"' || name || '"' END) || '}' AS message
 FROM linked
 """
