@@ -4,21 +4,23 @@ The entities to protect are the addresses and numbers that the base patterns fin
 reveals an entity as far as their pointwise mutual information reaches the entity's own information
 content, both estimated over the whole corpus: PMI = log2(n(t,e) * N / (n(t) * n(e))) against IC = log2(N / n(e)).
 All four count distinct documents: rows with the same words, case aside, are one, so copies neither make evidence nor hide it,
-while form letters that differ anywhere count one by one. A term seen near an entity in at least `support` distinct documents is
-generalised (to a class of term) from `generalise` on and removed from `remove` on, in every document that holds the entity.
+while form letters that differ anywhere count one by one. A term seen near an entity (within AROUND words) in at least `support` distinct documents is
+generalised (to a class of term) from `generalise` on and removed from `remove` on, in every document that holds the entity. A pair seen
+in fewer documents is weak evidence: its term is generalised, and only from `remove` on, as is a name that the whole corpus has but beside one address.
 
 Defined cases: a null text is empty. Spans of one kind don't overlap; spans of different kinds
 may, and sanitising replaces their union. Repeated rows count as one document, and get equal
-results. Rows without an id count as evidence, keep their base spans and get no term spans. An empty table gives an empty result.
+results, whatever their ids; an id may be null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,60 +90,104 @@ def term(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
+def might_hold(text: Column) -> Column:
+    """Whether a text can hold a base span at all; native, so that most texts are passed over without Python."""
+    return F.coalesce(F.rlike(text, F.lit(r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}")), F.lit(False))
+
+
+def _free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether outside all spans) of each word, in time linear in words and spans; spans are by start."""
+    out, i, ends = [], 0, 0
+    for m in _TERM.finditer(text):
+        while i < len(spans) and spans[i][1] < m.end():
+            ends = max(ends, spans[i][2])
+            i += 1
+        out.append((m.start(), m.end(), ends <= m.start()))
+    return out
+
+
 def contexts(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, entity, term) of the words near each entity; copy tells distinct documents apart. An entity without words has one row without a term."""
+    """(copy, entity, term) of the AROUND words on either side of each entity; copy tells distinct documents apart. An entity without words has one row without a term."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for doc_id, copy, text in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), text_list(batch)):
-            spans = base_spans(text)
-            blocked = [(a, b) for _, a, b in spans]
+        rows = set()
+        for copy, text in zip(batch.column("copy").to_pylist(), text_list(batch)):
+            if not (spans := base_spans(text)):
+                continue
+            found = _free_words(text, spans)
+            starts, ends = [w[0] for w in found], [w[1] for w in found]
             for kind, a, b in spans:
-                near = [*list(_TERM.finditer(text, max(0, a - 40 * AROUND), a))[-AROUND:], *list(_TERM.finditer(text, b, b + 40 * AROUND))[:AROUND]]
-                named = {term(m[0]) for m in near if not any(x < m.end() and m.start() < y for x, y in blocked)}
-                rows += [(doc_id, copy, entity(kind, text[a:b]), word) for word in sorted(w for w in named if len(w) > 2) or [None]]
-        columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "copy", "entity", "term"])
+                before, after = bisect_right(ends, a), bisect_left(starts, b)
+                near = [*found[max(0, before - AROUND) : before], *found[after : after + AROUND]]
+                named = {t for x, y, free in near if free and len(t := term(text[x:y])) > 2}
+                rows.update((copy, entity(kind, text[a:b]), t) for t in named or [None])
+        columns = list(zip(*rows)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["copy", "entity", "term"])
 
-    return map_batches(docs.select("doc_id", cluster_of(F.col("text")).alias("copy"), "text"), run, "doc_id long, copy long, entity string, term string")
+    held = docs.filter(might_hold(F.col("text"))).select(cluster_of(F.col("text")).alias("copy"), "text")
+    return map_batches(held, run, "copy long, entity string, term string")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure): terms at or over the lower threshold."""
+def _terms_in(text: Column) -> Column:
+    return F.array_distinct(F.transform(words(text), lambda w: F.lower(F.btrim(w, F.lit(_EDGE)))))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, rare: float = REMOVE) -> DataFrame:
+    """(entity, term, n_both, disclosure): terms at or over their threshold."""
     copies = cut(docs.groupBy(cluster_of(F.col("text")).alias("copy")).agg(F.count(F.lit(1)).alias("rows")))
     total = copies.count()
-    once = found.filter("term is not null").select("entity", "term", "copy").distinct()
-    joint = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    joint = cut(joint)
+    joint = cut(found.filter("term is not null").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")))
     held = found.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = joint.select("term").distinct()
     # document frequency over the whole corpus, of the terms in question; the rows of one document share its weight
-    parted = docs.select(cluster_of(F.col("text")).alias("copy"), F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(F.btrim(w, F.lit(_EDGE))))).alias("terms"))
+    parted = docs.select(cluster_of(F.col("text")).alias("copy"), _terms_in(F.col("text")).alias("terms"))
     weighed = parted.join(small(copies.filter("rows > 1")), "copy", "left").select(F.explode("terms").alias("term"), (1 / F.coalesce("rows", F.lit(1))).alias("weight"))
     spread = weighed.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
     n = F.lit(float(max(1, total)))
     both = joint.join(held, "entity").join(spread, "term")
     pmi = F.log2(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.greatest("n_entity", "n_both")))
     content = F.log2(n / F.greatest("n_entity", "n_both"))
-    return both.select("entity", "term", F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    disclosure = F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(0.0)
+    return both.select("entity", "term", "n_both", disclosure.alias("disclosure")).filter(F.col("disclosure") >= F.when(F.col("n_both") >= support, generalise).otherwise(rare))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """All columns and `_terms`, the disclosing terms of the entities that the row holds (null: none)."""
+def terms_by_document(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE) -> DataFrame:
+    """(copy, terms array<struct<term, removed>>): for each distinct document that holds an entity, the terms in it that disclose the entity.
+
+    Terms near the entity are met in `contexts`. Terms farther off in the same text are looked for among pairs seen in `support` documents or more:
+    what was seen less often was seen near.
+    """
     found = cut(contexts(docs))
-    shown = cut(disclosing(docs, found))
-    held = found.filter("doc_id is not null").select("doc_id", "entity").distinct()
-    per_doc = cut(held.join(small(shown), "entity").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("term", "disclosure")).alias("_terms")))
-    return docs.join(small(per_doc), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    shown = cut(disclosing(docs, found, support))
+    named = found.filter("term is not null").join(small(shown), ["entity", "term"]).select("copy", "term", "n_both", "disclosure")
+    often = shown.filter(F.col("n_both") >= support)
+    if not often.isEmpty():
+        terms = small(often.select("term").distinct())
+        here = docs.filter(might_hold(F.col("text"))).select(cluster_of(F.col("text")).alias("copy"), F.explode(_terms_in(F.col("text"))).alias("term")).join(terms, "term", "left_semi").distinct()
+        far = here.join(found.select("copy", "entity").distinct(), "copy").join(small(often), ["entity", "term"])
+        named = named.unionByName(far.select("copy", "term", "n_both", "disclosure"))
+    removed = F.max((F.col("n_both") >= support) & (F.col("disclosure") >= remove))
+    return cut(named.groupBy("copy", "term").agg(removed.alias("removed")).groupBy("copy").agg(F.collect_list(F.struct("term", "removed")).alias("_terms")))
 
 
-def all_spans(text: str, terms: dict[str, float], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The base spans and, outside them, those of disclosing terms."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """All columns and `_terms`, the disclosing terms that the row holds (null: none)."""
+    per_copy = terms_by_document(docs.select("text")).withColumnRenamed("copy", "_copy")
+    holds, side = might_hold(F.col("text")), small(per_copy)
+    if side is not per_copy:
+        return docs.withColumn("_at", F.when(holds, cluster_of(F.col("text")))).join(side, F.col("_at") == F.col("_copy"), "left").drop("_at", "_copy")
+    # too large to broadcast: only texts that can hold an entity are shuffled
+    met = docs.filter(holds).withColumn("_at", cluster_of(F.col("text"))).join(per_copy, F.col("_at") == F.col("_copy"), "left").drop("_at", "_copy")
+    return met.unionByName(docs.filter(~holds).withColumn("_terms", F.lit(None).cast(per_copy.schema["_terms"].dataType)))
+
+
+def all_spans(text: str, terms: dict[str, bool], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The base spans and, outside them, those of disclosing terms (true: removed)."""
     out = list(base)
     if terms:
-        for m in _TERM.finditer(text):
-            if (t := term(m[0])) in terms and not any(a < m.end() and m.start() < b for _, a, b in base):
-                out.append(("removed" if terms[t] >= REMOVE else "generalised", m.start(), m.end()))
+        for a, b, free in _free_words(text, base):
+            if free and (t := term(text[a:b])) in terms:
+                out.append(("removed" if terms[t] else "generalised", a, b))
     order = {k: i for i, k in enumerate((*KINDS, "removed", "generalised"))}
     return sorted(out, key=lambda s: (s[1], order[s[0]]))
 
@@ -162,14 +208,8 @@ def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _terms_of(batch: pa.RecordBatch) -> list[dict[str, float]]:
-    out = []
-    for row in batch.column("_terms").to_pylist():
-        best: dict[str, float] = {}
-        for x in row or []:
-            best[x["term"]] = max(best.get(x["term"], 0.0), x["disclosure"])
-        out.append(best)
-    return out
+def _terms_of(batch: pa.RecordBatch) -> list[dict[str, bool]]:
+    return [{x["term"]: x["removed"] for x in row or []} for row in batch.column("_terms").to_pylist()]
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
