@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corvane.llm.common import n_words
+from corvane.llm.common import cut, n_words
 
 WEIGHTS, SHARE, MOST_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 #: Documents of a source in one range, about.
@@ -57,14 +57,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")), 256)
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if keep else []
     sized = docs.select("doc_id", source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), F.substring(digest, 1, 16).alias("at"), *row)
-    aimed = targets(sized.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, most)
-    biggest = docs.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    # texts are read once for the sizes, which are a small table; rows that are kept whole are read once more
+    sizes = cut(sized.select("doc_id", "key", "size", "at"))
+    sized = sized if keep else sizes
+    per_source = cut(sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    aimed = targets(per_source.select("key", "source_size"), weights, share, most)
+    biggest = per_source.agg(F.max("n")).first()[0] or 0
     ranges = 1
     while ranges * range_rows < biggest and ranges < 1 << 28:
         ranges *= 2
     bucket = F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
     placed = sized.withColumn("bucket", bucket)
-    sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    sums = sizes.withColumn("bucket", bucket).groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("key", "bucket", before.alias("before")).join(aimed, "key")
     inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -80,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: a row for each epoch of a document, all columns kept; at the cut the text ends with the last word of the budget.
 
-    A document without words isn't part of any mix, unless its whole source has none.
+    A document without words isn't part of any mix.
     """
     found = mix(docs, weights, share, most, seed, keep=True)
     whole = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0)
