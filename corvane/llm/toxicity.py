@@ -5,8 +5,9 @@ misspelt forms share the statistics of their stems. Each class (toxic, ordinary)
 discounted counts at the highest order; below it both share one Kneser-Ney backoff made of
 continuation counts over both classes, so a rare expression that neither class has seen favours
 neither. A word's evidence is its log-likelihood under the toxic model less that under
-the ordinary one. Evidence within `dead` nats is the noise of estimates and counts as none; the
-rest is summed and divided by the number of words (plus `prior_words`), and a logistic
+the ordinary one, as far as it exceeds DEAD nats: less is the noise of estimates, and ordinary words
+say nothing, as toxic texts are mostly made of them (one German insult isn't less of one for the German around it).
+Evidence is summed and divided by the number of words (plus PRIOR_WORDS), and a logistic
 curve turns this into a score.
 
 Counts cover all labelled rows of the learning folds (crc32 of the id modulo 5 is 1, 2 or 3); fold 4 fits the
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import cut, map_batches, n_words, sliced, small, text_list
 
-ORDER, DISCOUNT, DEAD, PRIOR_WORDS, MOST_WORD = 5, 0.75, 2.0, 30, 64
+ORDER, DISCOUNT, DEAD, PRIOR_WORDS, MOST_WORD = 5, 0.75, 2.5, 30, 64
 #: Sequences up to which the model is broadcast; beyond it, it is joined.
 MOST_GRAMS = 400_000
 CALIBRATION_ROWS = 20_000
@@ -75,9 +76,7 @@ class Model:
 
     def word(self, word: bytes) -> float:
         if (found := self.known.get(word)) is None:
-            found = sum(self.evidence[g] if g in self.evidence else self.contexts.get(g[:-1], 0.0) for g in grams(word))
-            if abs(found) < DEAD:
-                found = 0.0
+            found = max(0.0, sum(self.evidence[g] if g in self.evidence else self.contexts.get(g[:-1], 0.0) for g in grams(word)) - DEAD)
             if len(self.known) > 150_000:
                 self.known.clear()
             self.known[word] = found
@@ -226,8 +225,8 @@ def word_evidence(words: DataFrame, model: Tables) -> DataFrame:
 
     parts = map_batches(words.select("word"), run, "word binary, gram binary, before binary")
     found = parts.join(model.evidence, "gram", "left").join(model.contexts.select(F.col("gram").alias("before"), F.col("value").alias("context")), "before", "left")
-    value = F.sum(_exact(F.coalesce("value", "context", F.lit(0.0)))).cast("double")
-    return found.groupBy("word").agg(value.alias("value")).filter(F.abs("value") >= DEAD)
+    value = F.sum(_exact(F.coalesce("value", "context", F.lit(0.0)))).cast("double") - DEAD
+    return found.groupBy("word").agg(value.alias("value")).filter("value > 0")
 
 
 def joined_evidence(docs: DataFrame, model: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 import zstandard
@@ -273,11 +274,83 @@ def test_toxicity_keeps_every_sequence(spark):
     assert toxicity.score(docs, joined).columns[:-2] == docs.columns
 
 
+def plain_model(table, d=0.75):
+    """P(k, g): probability of the last byte of g after the others in class k (None: the shared backoff), by the definition."""
+    parts = {g[i:] for g, *_ in table for i in range(len(g))}
+    kinds = {}
+    for g in parts:
+        if len(g) > 1:
+            kinds[g[1:]] = kinds.get(g[1:], 0) + 1
+
+    def mixed(counts, g, below):
+        after = {x: n for x, n in counts.items() if x[:-1] == g[:-1] and n}
+        total = sum(after.values())
+        return max(counts.get(g, 0) - d, 0) / total + d * len(after) / total * below if total else below
+
+    def shared(g):
+        return mixed(kinds, g, shared(g[1:]) if len(g) > 1 else 1 / 257) if g else 1 / 257
+
+    return lambda k, g: shared(g) if k is None else mixed({x: c[k] for x, *c in table}, g, shared(g[1:]))
+
+
+TABLE = [(b"\x01a", 3, 1), (b"\x01ab", 2, 1), (b"\x01abc", 2, 0), (b"\x01abd", 0, 2), (b"abcd", 1, 0), (b"bcdb", 1, 4)]
+
+
 def test_model_probabilities_sum_to_one():
-    """Shared backoff and class counts together are a distribution over the next byte."""
-    table = [(b"\x01a", 3, 1), (b"\x01ab", 2, 1), (b"\x01abc", 2, 0), (b"abcd", 1, 0)]
-    model = toxicity.estimate(table)
-    assert set(model.evidence) == {g for g, *_ in table} and model.word(b"zz") == 0.0
+    """Class counts and shared backoff together are a distribution over the next of 257 symbols, and the model holds its log ratios."""
+    prob = plain_model(TABLE)
+    for k in (None, 0, 1):
+        for h in (b"", b"\x01", b"\x01a", b"\x01ab", b"abc", b"bcd", b"zz"):
+            if k is not None and not h:
+                continue
+            own = [prob(k, h + bytes([b])) for b in range(256)]
+            assert abs(sum(own) + min(own) - 1) < 1e-9  # the 257th symbol is as likely as any that was never seen
+    model = toxicity.estimate(TABLE)
+    assert set(model.evidence) == {g for g, *_ in TABLE}
+    assert all(abs(model.evidence[g] - math.log(prob(1, g) / prob(0, g))) < 1e-9 for g in model.evidence)
+    assert all(abs(model.contexts.get(h, 0.0) - math.log(prob(1, h + b"z") / prob(0, h + b"z"))) < 1e-9 for h in (b"\x01", b"\x01a", b"\x01ab", b"abc", b"bcd", b"zz"))
+
+
+def test_toxicity_against_the_definition(spark):
+    """Counts, ratios, evidence and score of every row, from the labels on, by a plain version."""
+    rows, lab = [], []
+    for i in range(150):
+        rows.append((i, prose(25, 4000 + i) + (" zorkling quaxhead" if i % 5 == 0 else ""), "a"))
+        lab.append((i, int(i % 5 == 0)))
+    rows += [(900, None, "a"), (901, "zorkling", "a"), (902, "x" * 150, "a")]
+    docs, labels = documents(spark, rows), spark.createDataFrame(lab, "doc_id long, toxic int")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    text, counts = {i: t or "" for i, t, _ in rows}, {}
+
+    def pieces(word):
+        for at in range(0, len(word), 64):
+            w = b"\x01" + word[at : at + 64] + b"\x02"
+            yield from (w[max(0, i - 4) : i + 1] for i in range(1, len(w)))
+
+    for i, toxic in lab:
+        if fold(i) in (1, 2, 3):
+            for w in text[i].lower().encode().split():
+                for g in pieces(w):
+                    counts.setdefault(g, [0, 0])[toxic] += 1
+    model = toxicity.estimate([(g, *c) for g, c in counts.items()])  # held to the definition above
+
+    def evidence(t):
+        words = t.lower().encode().split()
+        ratio = lambda w: sum(model.evidence.get(g, model.contexts.get(g[:-1], 0.0)) for g in pieces(w))
+        return sum(max(0.0, ratio(w) - 2.5) for w in words) / (len(words) + 30)
+
+    x, y = zip(*((evidence(text[i]), toxic) for i, toxic in lab if fold(i) == 4))
+    slope, middle = toxicity.fit_curve(np.array(x), np.array(y))
+    for r in toxicity.toxicity(docs, labels).collect():
+        e = evidence(text[r.doc_id])
+        assert abs(r.evidence - e) < 1e-9 and abs(r.score - 1 / (1 + math.exp(-max(-40, min(40, slope * (e - middle)))))) < 1e-6
+    # the curve has no lower loss nearby
+    def loss(s, m):
+        z = np.clip(s * (np.array(x) - m), -40, 40)
+        p, t = 1 / (1 + np.exp(-z)), np.array(y)
+        return -(np.log(p)[t == 1].mean() + np.log(1 - p)[t == 0].mean()) / 2 + 0.5e-4 * (s * np.std(x)) ** 2
+
+    assert all(loss(slope, middle) <= loss(slope * (1 + a), middle * (1 + b)) + 1e-7 for a in (-0.1, 0, 0.1) for b in (-0.1, 0, 0.1))
 
 
 PII_TEXTS = [
