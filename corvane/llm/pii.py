@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import cut, map_batches, small, text_list, words
-from corvane.llm.packing import cluster_of
 
 KINDS = ("email", "ip", "card", "phone")
 AROUND, SUPPORT, GENERALISE, REMOVE = 12, 3, 0.6, 0.85
@@ -90,6 +89,15 @@ def term(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
+def folded_words(text: Column) -> Column:
+    return words(F.lower(text))
+
+
+def cluster_of(folded: Column) -> Column:
+    """Documents with the same words, case aside, are one."""
+    return F.xxhash64(F.array_join(folded, " "))
+
+
 def might_hold(text: Column) -> Column:
     """Whether a text can hold a base span at all; native, so that most texts are passed over without Python."""
     return F.coalesce(F.rlike(text, F.lit(r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}")), F.lit(False))
@@ -124,27 +132,30 @@ def contexts(docs: DataFrame) -> DataFrame:
         columns = list(zip(*rows)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["copy", "entity", "term"])
 
-    held = docs.filter(might_hold(F.col("text"))).select(cluster_of(F.col("text")).alias("copy"), "text")
+    held = docs.filter(might_hold(F.col("text"))).select(cluster_of(folded_words(F.col("text"))).alias("copy"), "text")
     return map_batches(held, run, "copy long, entity string, term string")
 
 
-def _terms_in(text: Column) -> Column:
-    return F.array_distinct(F.transform(words(text), lambda w: F.lower(F.btrim(w, F.lit(_EDGE)))))
+def _parted(docs: DataFrame) -> DataFrame:
+    """(copy, hashes) of each row: its document and the distinct terms in it, as hashes, which are cheaper to tell apart and to carry than strings."""
+    parts = docs.select(folded_words(F.col("text")).alias("folded"))
+    return parts.select(cluster_of(F.col("folded")).alias("copy"), F.array_distinct(F.transform("folded", lambda w: F.xxhash64(F.btrim(w, F.lit(_EDGE))))).alias("hashes"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, rare: float = REMOVE) -> DataFrame:
     """(entity, term, n_both, disclosure): terms at or over their threshold."""
-    copies = cut(docs.groupBy(cluster_of(F.col("text")).alias("copy")).agg(F.count(F.lit(1)).alias("rows")))
+    copies = cut(docs.groupBy(cluster_of(folded_words(F.col("text"))).alias("copy")).agg(F.count(F.lit(1)).alias("rows")))
     total = copies.count()
     joint = cut(found.filter("term is not null").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")))
     held = found.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = joint.select("term").distinct()
+    wanted = joint.select(F.xxhash64("term").alias("hash")).distinct()
     # document frequency over the whole corpus, of the terms in question; the rows of one document share its weight
-    parted = docs.select(cluster_of(F.col("text")).alias("copy"), _terms_in(F.col("text")).alias("terms"))
-    weighed = parted.join(small(copies.filter("rows > 1")), "copy", "left").select(F.explode("terms").alias("term"), (1 / F.coalesce("rows", F.lit(1))).alias("weight"))
-    spread = weighed.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
+    weighed = _parted(docs).join(small(copies.filter("rows > 1")), "copy", "left").select(F.explode("hashes").alias("hash"), (1 / F.coalesce("rows", F.lit(1))).alias("weight"))
+    if (few := small(wanted)) is not wanted:
+        weighed = weighed.join(few, "hash", "left_semi")
+    spread = weighed.groupBy("hash").agg(F.round(F.sum("weight")).alias("n_term"))
     n = F.lit(float(max(1, total)))
-    both = joint.join(held, "entity").join(spread, "term")
+    both = joint.withColumn("hash", F.xxhash64("term")).join(held, "entity").join(spread, "hash")
     pmi = F.log2(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.greatest("n_entity", "n_both")))
     content = F.log2(n / F.greatest("n_entity", "n_both"))
     disclosure = F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(0.0)
@@ -162,8 +173,8 @@ def terms_by_document(docs: DataFrame, support: int = SUPPORT, remove: float = R
     named = found.filter("term is not null").join(small(shown), ["entity", "term"]).select("copy", "term", "n_both", "disclosure")
     often = shown.filter(F.col("n_both") >= support)
     if not often.isEmpty():
-        terms = small(often.select("term").distinct())
-        here = docs.filter(might_hold(F.col("text"))).select(cluster_of(F.col("text")).alias("copy"), F.explode(_terms_in(F.col("text"))).alias("term")).join(terms, "term", "left_semi").distinct()
+        terms = small(often.select("term", F.xxhash64("term").alias("hash")).distinct())
+        here = _parted(docs.filter(might_hold(F.col("text")))).select("copy", F.explode("hashes").alias("hash")).join(terms, "hash").select("copy", "term").distinct()
         far = here.join(found.select("copy", "entity").distinct(), "copy").join(small(often), ["entity", "term"])
         named = named.unionByName(far.select("copy", "term", "n_both", "disclosure"))
     removed = F.max((F.col("n_both") >= support) & (F.col("disclosure") >= remove))
@@ -175,9 +186,9 @@ def _marked(docs: DataFrame) -> DataFrame:
     per_copy = terms_by_document(docs.select("text")).withColumnRenamed("copy", "_copy")
     holds, side = might_hold(F.col("text")), small(per_copy)
     if side is not per_copy:
-        return docs.withColumn("_at", F.when(holds, cluster_of(F.col("text")))).join(side, F.col("_at") == F.col("_copy"), "left").drop("_at", "_copy")
+        return docs.withColumn("_at", F.when(holds, cluster_of(folded_words(F.col("text"))))).join(side, F.col("_at") == F.col("_copy"), "left").drop("_at", "_copy")
     # too large to broadcast: only texts that can hold an entity are shuffled
-    met = docs.filter(holds).withColumn("_at", cluster_of(F.col("text"))).join(per_copy, F.col("_at") == F.col("_copy"), "left").drop("_at", "_copy")
+    met = docs.filter(holds).withColumn("_at", cluster_of(folded_words(F.col("text")))).join(per_copy, F.col("_at") == F.col("_copy"), "left").drop("_at", "_copy")
     return met.unionByName(docs.filter(~holds).withColumn("_terms", F.lit(None).cast(per_copy.schema["_terms"].dataType)))
 
 
