@@ -16,6 +16,11 @@ STOP_WORDS = {
 #: A run of capitals before a capitalised word or at the end, a word, a number, or any other letters.
 PARTS = r"[A-Z]+(?=[A-Z][a-z]|(?![\p{L}\p{N}]))|[A-Z]?[a-z]+|[0-9]+|[\p{L}\p{No}\p{Nl}]+"
 WORD = r"[\p{L}\p{N}_]+"
+#: A word that is one part at most: all of it is one of PARTS, digits of other scripts aside, which are in no part.
+_ODD, _OTHER = r"[\p{Nd}&&[^0-9]]", r"[\p{L}\p{No}\p{Nl}&&[^a-zA-Z]]"
+_SINGLE = rf"{_ODD}*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Z]*{_OTHER}[\p{{L}}\p{{No}}\p{{Nl}}]*)?{_ODD}*"
+#: Identifiers of several parts or with an underscore; one expression over the text is far cheaper than one for each word.
+COMPOUND = rf"(?<![\p{{L}}\p{{N}}_])(?!{_SINGLE}(?![\p{{L}}\p{{N}}_])){WORD}"
 OPERATORS = r"==|!=|<=|>=|:=|\*\*|//|->|[+*/%<>=!-]"
 
 
@@ -28,22 +33,26 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def _folded(tokens: Column) -> Column:
+    """Each token folded; all at once, as one text, since tokens hold no blanks."""
+    return F.when(F.size(tokens) > 0, F.split(fold(F.array_join(tokens, " ")), " ")).otherwise(F.array().cast("array<string>"))
+
+
 def tokenize(text: Column) -> Column:
     """Folded parts of words: snake case, camel case, acronyms and numbers come apart."""
-    return F.transform(_all(text, PARTS), fold)
+    return _folded(_all(text, PARTS))
 
 
 def identifier_tokens(text: Column) -> Column:
     """The parts, and whole identifiers that have more than one."""
-    compound = F.filter(_all(text, WORD), lambda w: w.contains("_") | (F.size(_all(w, PARTS)) > 1))
-    return F.concat(tokenize(text), F.transform(compound, fold))
+    return _folded(F.concat(_all(text, PARTS), _all(text, COMPOUND)))
 
 
 def code_tokens(text: Column, language: str = "python") -> Column:
     """Identifier tokens without the language's key words, then operator signs."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS.get(language, "").split()))
-    kept = F.filter(identifier_tokens(text), lambda t: ~F.array_contains(stop, t)) if STOP_WORDS.get(language) else identifier_tokens(text)
-    return F.concat(kept, _all(text, OPERATORS))
+    stop = STOP_WORDS.get(language, "").split()
+    found = identifier_tokens(text)
+    return F.concat(F.filter(found, lambda t: ~t.isin(*stop)) if stop else found, _all(text, OPERATORS))
 
 
 def normalize_query(text: Column | str) -> Column:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.plans.registry import table
+from corvane.session import spread
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as symbols: the first line is the signature, the language the doc string."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select("doc_id", F.col("source").alias("path"), F.substring_index("text", "\n", 1).alias("signature"), F.col("lang").alias("docstring"), F.col("text").alias("body"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -10,6 +12,7 @@ from corvane.functions import text as T
 from corvane.operators import fusion, graph, lexical, vector
 from corvane.plans.adapters import EDGES_SQL, corpus, edges, nodes
 from corvane.plans.registry import query, table
+from corvane.session import ensure_checkpoint_dir, spread
 
 FIELDS = ["signature", "docstring", "body"]
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["python"].split())
@@ -62,13 +65,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 @query(f"SELECT doc_id, len({sql_tokens('text')})::BIGINT AS n_tokens, sha256(array_to_string({sql_tokens('text')}, ' ')) AS digest FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    tokens = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokenize(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
 @query(f"SELECT doc_id, len({sql_code_tokens('text')})::BIGINT AS n_tokens, sha256(array_to_string({sql_code_tokens('text')}, ' ')) AS digest FROM documents")
 def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", T.code_tokens(F.col("text")).alias("t"))
+    tokens = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.code_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
@@ -102,6 +105,29 @@ def bm25f_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {bm25f_sql('SELECT item_id AS query_id, text FROM benchmark')} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked")
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship from a persisted index: built, loaded again, and read by the buckets of the queries' terms."""
+    folder = f"{ensure_checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    lexical.PostingsIndex.build(corpus(spark, sf_dir), "doc_id", FIELDS, folder)
+    return _found(lexical.PostingsIndex(spark, folder, FIELDS).search(table(spark, sf_dir, "benchmark"), "item_id", "text", 10))
+
+
+@query(f"WITH {bm25f_sql('SELECT item_id AS query_id, text FROM benchmark', keep='id % 7 <> 0', k=10)} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked")
+def index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half of the documents, some with other texts, then changed to all but a seventh; equal to a fresh one."""
+    docs = corpus(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    index = lexical.PostingsIndex.build(docs.filter("doc_id % 2 = 0").withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.lit("other text")).otherwise(F.col("body"))), "doc_id", FIELDS, folder)
+    changed = docs.filter("(doc_id % 2 = 1 or doc_id % 3 = 0) and doc_id % 7 <> 0")
+    index.update(changed, "doc_id", docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    return _found(index.search(table(spark, sf_dir, "benchmark"), "item_id", "text", 10))
+
+
 @query(f"WITH {bm25f_sql('SELECT item_id AS query_id, text FROM benchmark', keep='id % 7 <> 0', k=5)} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked")
 def bm25f_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seventh of the documents is taken out of the index; statistics are those of the rest."""
