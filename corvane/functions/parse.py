@@ -1,15 +1,15 @@
-"""Python sources parsed to symbols, imports, calls and bases, by the standard library's own parser.
-
-Other languages give a diagnostic: their grammars aren't among the dependencies.
-"""
+"""Sources parsed to symbols, imports, calls and bases: Python by the standard library's own parser, languages with braces by `braces`."""
 
 from __future__ import annotations
 
 import ast
 import hashlib
 import re
+from bisect import bisect_right
+
+from corvane.functions import braces
 
-LANGUAGES = {".py": "python", ".ts": "typescript", ".java": "java", ".go": "go", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp"}
+LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp"}
 SCHEMA = (
     "path string, symbols array<struct<id:string,path:string,name:string,qualname:string,kind:string,start_line:int,end_line:int,start_byte:int,end_byte:int,signature:string,docstring:string,body:string,content_hash:string,parent_id:string,fingerprint:string>>, "
     "imports array<struct<module:string,name:string,alias:string,level:int,scope:string,line:int>>, calls array<struct<callee:string,scope:string,line:int>>, bases array<struct<class:string,base:string,position:int>>, "
@@ -21,8 +21,53 @@ def symbol_id(path: str, kind: str, qualname: str) -> str:
     return hashlib.sha256(f"{path}:{kind}:{qualname}".encode()).hexdigest()
 
 
-def module_name(path: str) -> str:
-    return re.sub(r"(/__init__)?\.py$", "", path).replace("/", ".")
+def module_name(path: str, text: str = "") -> str:
+    """The scope of a file: its dotted path; of Go, its package, which is the directory; of Java, the package it declares and nothing of its name."""
+    if path.endswith(".go"):
+        found = re.search(r"(?m)^package\s+(\w+)", text)
+        return path.rpartition("/")[0].replace("/", ".") or (found[1] if found else "main")
+    if path.endswith(".java"):
+        found = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", text)
+        return found[1] if found else path.rpartition("/")[0].replace("/", ".") or "default"
+    return re.sub(r"(/__init__)?\.(py|tsx?|c|h|cc|cpp|cxx|hpp)$", "", path).replace("/", ".")
+
+
+def _braced(path: str, text: str, language: str, scope: str, module_id: str) -> dict[str, list]:
+    """The rows of a file in a language with braces."""
+    clean = braces.masked(text, language)
+    found = braces.definitions(clean, language)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect_right(starts, at)
+    size = [0]
+    for c in text:
+        size.append(size[-1] + len(c.encode("utf-8", "replace")))
+    out: dict[str, list] = {k: [] for k in ("symbols", "imports", "calls", "bases", "bindings", "comprehensions")}
+    types = {d.name: d for d in found if d.kind == "class"}
+    for d in found:
+        inside = d.parent.qualname if d.parent else scope
+        if d.owner and (language == "go" or d.owner.rpartition("::")[2] in types):
+            owner = d.owner.rpartition("::")[2]
+            inside = types[owner].qualname if owner in types else f"{scope}.{owner}"
+        d.qualname = f"{inside}.{d.name}"
+        of_class = d.owner is not None or (d.parent is not None and d.parent.kind == "class")
+        kind = d.kind if d.kind == "class" else "method" if of_class else "function"
+        parent = symbol_id(path, "class", inside) if d.owner else symbol_id(path, d.parent.kind if d.parent.kind == "class" else _kind(d.parent), d.parent.qualname) if d.parent else module_id
+        body = text[d.start : d.end]
+        data = body.encode("utf-8", "replace")
+        shape = hashlib.sha256(re.sub(r"\s+", " ", clean[d.head_end : d.end]).encode()).hexdigest()
+        out["symbols"].append((symbol_id(path, kind, d.qualname), path, d.name, d.qualname, kind, line(d.start), line(d.end - 1), size[d.start], size[d.end], text[d.start : d.head_end].strip(), None, body, hashlib.sha256(data).hexdigest(), parent, shape))
+        out["bases"] += [(d.qualname, base, i) for i, base in enumerate(d.bases)]
+        if d.kind == "function":
+            out["bindings"] += [(d.qualname, name, target) for name, target in braces.locals_of(clean, d, language)]
+    out["imports"] = [(module, name, alias, level, scope, line(at)) for module, name, alias, level, at in braces.imports(text, clean, language)]
+    for callee, at in braces.calls(clean, found, language):
+        around = [d for d in found if d.start <= at < d.end and d.kind == "function"]
+        out["calls"].append((callee, around[-1].qualname if around else scope, line(at)))
+    return out
+
+
+def _kind(d: braces.Definition) -> str:
+    return "method" if d.owner is not None or (d.parent is not None and d.parent.kind == "class") else "function"
 
 
 def fingerprint(node: ast.AST) -> str:
@@ -107,11 +152,13 @@ class _Walk(ast.NodeVisitor):
 def parse(path: str, content: bytes) -> dict:
     """The rows of one file; a file that can't be parsed keeps its module symbol and gives a diagnostic."""
     text = content.decode("utf-8", "replace")
-    name = module_name(path)
+    name = module_name(path, text)
     module = (symbol_id(path, "module", name), path, name.rsplit(".", 1)[-1], name, "module", 1, max(1, text.count("\n") + (not text.endswith("\n"))), 0, len(content), "", None, text, hashlib.sha256(content).hexdigest(), None, None)
     out = {"path": path, "symbols": [module], "imports": [], "calls": [], "bases": [], "bindings": [], "comprehensions": [], "diagnostics": []}
     suffix = "." + path.rsplit(".", 1)[-1] if "." in path else ""
     language = LANGUAGES.get(suffix)
+    if language in braces.LANGUAGES:
+        return out | {k: (v if k != "symbols" else [module, *v]) for k, v in _braced(path, text, language, name, module[0]).items()}
     if language != "python":
         out["diagnostics"].append(f"unsupported language: {language or suffix or 'none'}")
         return out

@@ -78,9 +78,9 @@ def grep_score(text: Column, query_words: Column) -> Column:
 
 
 def normalize_answer(text: Column) -> Column:
-    """Lower case without punctuation and articles, single blanks."""
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " ")
-    return F.btrim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    """Lower case without punctuation and articles, single blanks. Articles are whole words of letters and digits of any script."""
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+    return F.array_join(F.filter(F.split(bare, " "), lambda w: ~w.isin("", "a", "an", "the")), " ")
 
 
 def contains_answer(text: Column, answer: Column) -> Column:

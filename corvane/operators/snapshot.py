@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 DOMAIN = "6469726563746f727900"  # "directory\0"
 
 
@@ -13,6 +15,20 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def parent_of(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+
+
+def directories(children: DataFrame) -> DataFrame:
+    """(path, digest) of the directories that hold the children (path, digest, kind)."""
+    name = F.encode(F.element_at(F.split("path", "/"), -1), "utf-8")
+    child = F.concat(F.col("kind"), F.lpad(F.hex(F.octet_length(name)), 16, "0"), F.hex(name), F.col("digest"))
+    rows = children.select(parent_of(F.col("path")).alias("path"), F.struct(F.hex(name).alias("key"), child.alias("child")).alias("c"))
+    joined = F.concat(F.lit(DOMAIN), F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["child"]), ""))
+    return rows.groupBy("path").agg(F.sha2(F.unhex(joined), 256).alias("digest"))
+
+
 def tree_hashes(leaves: DataFrame, most_depth: int = 64) -> DataFrame:
     """(path, digest, depth) of every directory of the leaves (path, digest); '' is the root.
 
@@ -25,14 +41,7 @@ def tree_hashes(leaves: DataFrame, most_depth: int = 64) -> DataFrame:
     now = leaves.select("path", "digest", F.lit("66").alias("kind"), F.size(F.split("path", "/")).alias("depth"))  # "f"
     done = None
     for level in range(depth, 0, -1):
-        here = now.filter(F.col("depth") == level)
-        parts = F.split("path", "/")
-        name = F.encode(F.element_at(parts, -1), "utf-8")
-        child = F.concat(F.col("kind"), F.lpad(F.hex(F.octet_length(name)), 16, "0"), F.hex(name), F.col("digest"))
-        parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-        rows = here.select(parent.alias("path"), F.struct(F.hex(name).alias("key"), child.alias("child")).alias("c"))
-        joined = F.concat(F.lit(DOMAIN), F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["child"]), ""))
-        made = rows.groupBy("path").agg(F.sha2(F.unhex(joined), 256).alias("digest")).withColumn("kind", F.lit("64")).withColumn("depth", F.lit(level - 1))  # "d"
+        made = directories(now.filter(F.col("depth") == level)).withColumn("kind", F.lit("64")).withColumn("depth", F.lit(level - 1))  # "d"
         done = made if done is None else done.unionByName(made)
         now = now.filter(F.col("depth") < level).unionByName(made)
     if done is None:
@@ -121,3 +130,22 @@ def ancestors_of(paths: DataFrame) -> DataFrame:
     """(path): every directory above the paths, which an incremental refresh must hash again."""
     parts = F.split("path", "/")
     return paths.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).distinct()
+
+
+def refresh_tree(tree: DataFrame, leaves: DataFrame, changed: DataFrame) -> DataFrame:
+    """The tree (path, digest, depth) of `leaves` from an earlier one: only directories above changed paths (path) are hashed again.
+
+    Their children are read from the leaves that lie in such a directory and from digests that stay; a directory without children is gone.
+    """
+    stale = cut(ancestors_of(changed))
+    kept = tree.join(stale, "path", "left_anti")
+    of_stale = lambda df: df.withColumn("_dir", parent_of(F.col("path"))).join(stale.select(F.col("path").alias("_dir")), "_dir", "left_semi")
+    inside = of_stale(leaves).select("path", "digest", F.lit("66").alias("kind"))
+    beside = of_stale(kept.filter("path <> ''")).select("path", "digest", F.lit("64").alias("kind"))
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    children, made = cut(inside.unionByName(beside)), kept.select("path", "digest")
+    for d in range(stale.agg(F.max(depth)).first()[0] or 0, -1, -1):
+        level = cut(directories(children.filter(F.size(F.split("path", "/")) == d + 1)))
+        made = made.unionByName(level)
+        children = children.unionByName(level.filter("path <> ''").withColumn("kind", F.lit("64")))
+    return made.select("path", "digest", depth.alias("depth"))

@@ -11,15 +11,26 @@ from corvane.operators import lexical
 from corvane.plans.adapters import corpus
 from corvane.plans.registry import query, table
 from corvane.plans.retrieval import FIELDS, bm25f_sql
+from corvane.session import small, spread
 
-GOLD_SQL = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents d ON contains(d.text, substr(benchmark.text, 1, 60)))"
+SHARED = 8
+GRAMS = "SELECT DISTINCT {0} AS id, array_to_string(w[i:i + " + str(SHARED - 1) + "], ' ') AS gram FROM (SELECT {0}, w, unnest(range(1, len(w) - " + str(SHARED - 2) + ")) AS i FROM (SELECT {0}, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM {1}))"
+GOLD_SQL = f"gold AS (SELECT DISTINCT a.id AS query_id, b.id AS id FROM ({GRAMS.format('item_id', 'benchmark')}) a JOIN ({GRAMS.format('doc_id', 'documents')}) b USING (gram))"
+
+
+def grams(df: DataFrame, id: str) -> DataFrame:
+    """(id, gram): hashes of the distinct runs of SHARED words."""
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = df.select(F.col(id).alias("id"), w.alias("w")).filter(F.size("w") >= SHARED)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHARED - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, SHARED), " "))))
+    return words.select("id", F.explode(runs).alias("gram"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first 60 characters of an item; the items are a stated query set."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(F.broadcast(items), F.contains("text", F.col("head"))).select("query_id", "id")
+    """Documents that share a passage of SHARED words, from anywhere in it, with an item."""
+    items = grams(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("id", "query_id")
+    docs = grams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return docs.join(small(items), "gram").select("query_id", "id").distinct()
 
 
 @query(

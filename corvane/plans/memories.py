@@ -99,27 +99,36 @@ def forget_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept["orders"].select("o_orderkey", "o_custkey")
 
 
-OPS_SQL = "ops AS (SELECT o_orderkey AS op_id, CASE WHEN o_orderkey <= 1 THEN [] WHEN o_orderkey % 5 = 0 THEN [o_orderkey - 1, o_orderkey - 3] ELSE [greatest(1, o_orderkey - 2)] END AS parents FROM orders WHERE o_orderkey <= 60)"
+OPS_SQL = "ops AS (SELECT o_orderkey AS op_id, CASE WHEN o_orderkey <= 1 THEN [] WHEN o_orderkey % 5 = 0 THEN [o_orderkey // 2, o_orderkey // 3] ELSE [o_orderkey // 2] END AS parents FROM orders), e AS (SELECT op_id, unnest(parents) AS parent FROM ops)"
+REACH_SQL = "r AS (SELECT o_orderkey AS root, o_orderkey AS id FROM orders WHERE {0} UNION SELECT root, parent FROM r JOIN e ON op_id = id)"
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small graph of operations with merges."""
-    k = F.col("o_orderkey")
-    parents = F.when(k <= 1, F.array().cast("array<bigint>")).when(k % 5 == 0, F.array(k - 1, k - 3)).otherwise(F.array(F.greatest(F.lit(1), k - 2)))
-    return table(spark, sf_dir, "orders").filter("o_orderkey <= 60").select(k.alias("op_id"), parents.alias("parents"))
+    """A graph of operations with merges: all orders, each after one or two with lesser keys."""
+    k = F.col("o_orderkey").cast("long")
+    half, third = F.expr("o_orderkey div 2"), F.expr("o_orderkey div 3")
+    parents = F.when(k <= 1, F.array().cast("array<bigint>")).when(k % 5 == 0, F.array(half, third)).otherwise(F.array(half))
+    return table(spark, sf_dir, "orders").select(k.alias("op_id"), parents.alias("parents"))
 
 
-@query(f"WITH RECURSIVE {OPS_SQL}, e AS (SELECT op_id, unnest(parents) AS parent FROM ops), r AS (SELECT h AS root, h AS id FROM (VALUES (33), (50)) v(h) UNION SELECT root, parent FROM r JOIN e ON op_id = id) SELECT root::BIGINT AS root, id::BIGINT AS id FROM r")
+def heads(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").filter(condition).select(k.alias("root"), k.alias("id"))
+
+
+@query(f"WITH RECURSIVE {OPS_SQL}, {REACH_SQL.format('o_orderkey % 100 = 0')} SELECT root::BIGINT AS root, id::BIGINT AS id FROM r")
 def ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = spark.sql("SELECT cast(h as bigint) root, cast(h as bigint) id FROM VALUES (33), (50) AS t(h)")
-    return M.ancestry(operations(spark, sf_dir), heads)
+    """What each operation whose key is divisible by 100 reaches among all."""
+    return M.ancestry(operations(spark, sf_dir), heads(spark, sf_dir, "o_orderkey % 100 = 0"))
 
 
-@query(f"WITH RECURSIVE {OPS_SQL}, e AS (SELECT op_id, unnest(parents) AS parent FROM ops), r AS (SELECT h AS root, h AS id FROM (VALUES (33), (50)) v(h) UNION SELECT root, parent FROM r JOIN e ON op_id = id), c AS (SELECT id FROM r GROUP BY id HAVING count(*) = 2) SELECT id::BIGINT AS op_id FROM c WHERE id NOT IN (SELECT parent FROM e WHERE op_id IN (SELECT id FROM c))")
+@query(f"WITH RECURSIVE {OPS_SQL}, {REACH_SQL.format('o_orderkey >= (SELECT max(o_orderkey) - 1 FROM orders)')}, c AS (SELECT id FROM r GROUP BY id HAVING count(*) = 2) SELECT id::BIGINT AS op_id FROM c WHERE id NOT IN (SELECT parent FROM e WHERE op_id IN (SELECT id FROM c))")
 def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the two last operations."""
     ops = operations(spark, sf_dir)
-    found = M.ancestry(ops, spark.sql("SELECT cast(h as bigint) root, cast(h as bigint) id FROM VALUES (33), (50) AS t(h)"))
-    return M.common_base(found.filter("root = 33"), found.filter("root = 50"), ops)
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    found = M.ancestry(ops, heads(spark, sf_dir, f"o_orderkey >= {last - 1}"))
+    return M.common_base(found.filter(F.col("root") == last), found.filter(F.col("root") == last - 1), ops)
 
 
 ANCHORS_SQL = "anchors AS (SELECT l_orderkey AS fact_id, l_partkey AS symbol_id, min(p_size) AS content_hash FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), symbols AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS id, CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE p_size END AS hash FROM part WHERE p_partkey % 19 <> 0), renames AS (SELECT p_partkey AS old_id, p_partkey + 1000000 AS new_id FROM part WHERE p_partkey % 13 = 0)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corvane.functions import text as T
-from corvane.operators import fusion, graph, lexical, vector
+from corvane.operators import encode, fusion, graph, lexical, vector
 from corvane.plans.adapters import EDGES_SQL, corpus, edges, nodes
 from corvane.plans.registry import query, table
 from corvane.session import ensure_checkpoint_dir, spread
@@ -88,14 +88,12 @@ def grep_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.grep_score(F.col("text"), words).alias("score"))
 
 
-@query(
-    r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\pL\pN\s]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS normalized
-FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')"""
-)
+ANSWER_SQL = r"array_to_string(list_filter(string_split(regexp_replace(lower({0}), '[^\pL\pN]+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
+
+
+@query(f"SELECT conv_id, turn, {ANSWER_SQL.format('text')} AS normalized FROM conversations")
 def normalize_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain ASCII turns, where the word boundaries of both engines agree."""
-    turns = table(spark, sf_dir, "conversations").filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
-    return turns.select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("normalized"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("normalized"))
 
 
 @query(f"WITH {bm25f_sql('SELECT item_id AS query_id, text FROM benchmark')} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked")
@@ -356,23 +354,40 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(spark.sql(SEED_NODES), edges(spark, sf_dir))
 
 
+def encoded_sql(name: str, source: str) -> str:
+    """CTEs up to name(id, dim, x): unit vectors of the hashing encoder, without zeros."""
+    digit = lambda a, n: f"concat('0x', substr(md5(t), {a}, {n}))::UBIGINT::BIGINT"
+    return f"""{name}_tf AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest({sql_tokens('text')}) AS t FROM ({source})) GROUP BY ALL),
+{name}_sums AS (SELECT id, {digit(1, 4)} % {encode.HashingEncoder.DIMENSIONS} AS dim, sum((1 - 2 * ({digit(5, 1)} % 2)) * (1 + ln(tf))) AS x FROM {name}_tf GROUP BY ALL),
+{name} AS (SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM {name}_sums)"""
+
+
+SECOND_SQL = f"""{encoded_sql('docs_v', 'SELECT doc_id AS id, text FROM documents')}, {encoded_sql('items_v', 'SELECT item_id AS id, text FROM benchmark')},
+near AS (SELECT q.id AS query_id, d.id, sum(q.x * d.x) AS score FROM items_v q JOIN docs_v d USING (dim) GROUP BY ALL),
+second AS (SELECT query_id, id, rank FROM (SELECT i.item_id AS query_id, d.doc_id AS id, row_number() OVER (PARTITION BY i.item_id ORDER BY round(coalesce(score, 0), 9) DESC, d.doc_id) AS rank FROM benchmark i CROSS JOIN documents d LEFT JOIN near ON near.query_id = i.item_id AND near.id = d.doc_id) WHERE rank <= 50)"""
 HYBRID_SQL = f"""
 {bm25f_sql('SELECT item_id AS query_id, text FROM benchmark', k=50)},
-second AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY -((id * 31 + query_id * 17) % 1009), id) AS rank FROM (SELECT item_id AS query_id FROM benchmark), (SELECT doc_id AS id FROM documents WHERE doc_id % 20 = 0) QUALIFY rank <= 50),
+{SECOND_SQL},
 fused AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM ranked UNION ALL SELECT query_id, id, rank FROM second) GROUP BY ALL)"""
 
 
 def second_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in for vector candidates, as the items have no vectors: a pseudo-random order of some documents."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("id"))
-    order = Window.partitionBy("query_id").orderBy(-((F.col("id") * 31 + F.col("query_id") * 17) % 1009), "id")
-    return docs.join(F.broadcast(items)).withColumn("rank", F.row_number().over(order)).filter("rank <= 50")
+    """Vector candidates: the fifty documents nearest to each item, of all documents, by the hashing encoder."""
+    encoder = encode.HashingEncoder()
+    vectors = lambda df, id, name: df.select(F.col(id).alias(name), encoder.encode(T.tokenize(F.col("text"))).alias("v"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = vector.exact_knn(vectors(docs, "doc_id", "id"), vectors(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), 50, exclude_self=False)
+    return found.select("query_id", "id", "rank")
+
+
+@query(f"WITH {SECOND_SQL} SELECT query_id, id, rank FROM second")
+def encoded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return second_list(spark, sf_dir).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {HYBRID_SQL}, t AS (SELECT query_id, sum(score) AS total FROM fused GROUP BY query_id), s AS (SELECT query_id, id, score / total AS score FROM fused JOIN t USING (query_id)) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10")
 def hybrid_without_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and second candidates fused and combined, without graph scores."""
+    """Lexical and vector candidates fused and combined, without graph scores."""
     docs = corpus(spark, sf_dir)
     found = lexical.search(docs, table(spark, sf_dir, "benchmark"), "doc_id", FIELDS, "item_id", "text", 50)
     lists = found.select("query_id", F.lit("lexical").alias("list"), "id", "rank", F.lit(1.0).alias("weight")).unionByName(second_list(spark, sf_dir).select("query_id", F.lit("vector").alias("list"), "id", "rank", F.lit(1.0).alias("weight")))

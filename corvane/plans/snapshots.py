@@ -85,15 +85,15 @@ def identical_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT p_partkey AS id, p_brand AS path, p_name AS qualname, p_type AS kind, p_size AS fingerprint FROM part WHERE p_partkey <= 60),
-a AS (SELECT p_partkey + 1000 AS id, p_brand AS path, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || '!' END AS qualname, p_type AS kind, p_size AS fingerprint FROM part WHERE p_partkey <= 60),
+    """WITH b AS (SELECT p_partkey AS id, p_brand AS path, p_name AS qualname, p_type AS kind, p_size * 1000 + p_partkey % 1000 AS fingerprint FROM part),
+a AS (SELECT p_partkey + 1000000000 AS id, p_brand AS path, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || '!' END AS qualname, p_type AS kind, p_size * 1000 + p_partkey % 1000 AS fingerprint FROM part),
 f AS (SELECT a.id AS new_id, b.id AS old_id FROM a JOIN b USING (path, qualname, kind)),
 ra AS (SELECT * FROM a WHERE id NOT IN (SELECT new_id FROM f)), rb AS (SELECT * FROM b WHERE id NOT IN (SELECT old_id FROM f))
 SELECT * FROM f UNION ALL SELECT ra.id, rb.id FROM ra JOIN rb USING (fingerprint) WHERE fingerprint IN (SELECT fingerprint FROM ra GROUP BY 1 HAVING count(*) = 1) AND fingerprint IN (SELECT fingerprint FROM rb GROUP BY 1 HAVING count(*) = 1)"""
 )
 def verified_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("qualname"), F.col("p_type").alias("kind"), F.col("p_size").alias("fingerprint"))
-    a = b.select((F.col("id") + 1000).alias("id"), "path", F.when(F.col("id") % 2 == 0, F.col("qualname")).otherwise(F.concat("qualname", F.lit("!"))).alias("qualname"), "kind", "fingerprint")
+    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("qualname"), F.col("p_type").alias("kind"), (F.col("p_size") * 1000 + F.col("p_partkey") % 1000).alias("fingerprint"))
+    a = b.select((F.col("id") + 1_000_000_000).alias("id"), "path", F.when(F.col("id") % 2 == 0, F.col("qualname")).otherwise(F.concat("qualname", F.lit("!"))).alias("qualname"), "kind", "fingerprint")
     return S.verified_renames(b, a)
 
 
@@ -125,6 +125,24 @@ def external_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.external_symbols(e, nodes(e).filter("id like 'c%'"))
 
 
-@query(f"WITH {LEAVES_SQL}, p AS (SELECT path FROM leaves WHERE path LIKE '%7') SELECT '' AS path UNION SELECT split_part(path, '/', 1) FROM p UNION SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM p")
+EDITED_SQL = "leaves AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) || '/' || (page_id % 3) || '/' || page_id AS path, sha256(html || CASE WHEN page_id % 10 = 7 THEN 'edited' ELSE '' END) AS digest FROM pages WHERE page_id % 50 <> 3)"
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages later: a tenth are edited, some are gone."""
+    pages = table(spark, sf_dir, "pages").filter("page_id % 50 <> 3")
+    html = F.concat("html", F.when(F.col("page_id") % 10 == 7, "edited").otherwise(""))
+    return pages.select(F.concat(F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("/"), F.pmod("page_id", F.lit(3)).cast("string"), F.lit("/"), F.col("page_id").cast("string")).alias("path"), S.content_hash(html).alias("digest"))
+
+
+@query(f"WITH {LEAVES_SQL.replace('leaves', 'before')}, {EDITED_SQL.replace('leaves', 'after')}, p AS (SELECT coalesce(b.path, a.path) AS path FROM before b FULL JOIN after a ON a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest) SELECT '' AS path UNION SELECT split_part(path, '/', 1) FROM p UNION SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM p")
 def merkle_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ancestors_of(leaves(spark, sf_dir).filter("path like '%7'"))
+    """Directories above what changed between two versions of the pages."""
+    return S.ancestors_of(S.changed_paths(leaves(spark, sf_dir), edited(spark, sf_dir)))
+
+
+@query(f"WITH {EDITED_SQL}, {_level('l2', 'leaves', '66')}, {_level('l1', 'l2', '64')}, {_level('l0', 'l1', '64')} SELECT path, digest, 2 AS depth FROM l2 UNION ALL SELECT path, digest, 1 FROM l1 UNION ALL SELECT path, digest, 0 FROM l0")
+def merkle_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the later version from that of the earlier: only directories above changes are hashed again; equal to a fresh tree."""
+    before, after = leaves(spark, sf_dir), edited(spark, sf_dir)
+    return S.refresh_tree(S.tree_hashes(before), after, S.changed_paths(before, after))

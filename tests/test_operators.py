@@ -1,10 +1,12 @@
 """Hand-computed values, exhaustive searches and seeded models on small tables."""
 
+import hashlib
 import itertools
 import math
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corvane.functions import parse as P
@@ -190,7 +192,7 @@ def test_resolution_of_a_small_repository(spark):
     edges = {(names.get(r.source, r.source), r.kind, names.get(r.target, r.target), r.confidence) for r in resolve.resolve(parsed).collect()}
     assert {("app.run", "calls", "app.Processor", 1.0), ("app.run", "calls", "app.Processor.process", 0.9), ("app.Processor.process", "calls", "app.Base.normalize", 0.9), ("app.Processor", "inherits", "app.Base", 1.0)} <= edges
     assert {("test_app.test_run", "calls", "app.run", 1.0), ("test_app.test_run", "tests", "app.run", 1.0), ("test_app", "imports", "app.run", 1.0), ("app.Base.normalize", "calls", "builtin:str", 0.5)} <= edges
-    assert {r.path for r in parsed.filter(F.size("diagnostics") > 0).collect()} == {"bad.py", "x.go"}
+    assert {r.path for r in parsed.filter(F.size("diagnostics") > 0).collect()} == {"bad.py"}
     assert resolve.invalid_ranges(symbols).isEmpty()
     assert {r.qualname for r in resolve.chunks(symbols).filter("path = 'bad.py'").collect()} == {"bad"}
 
@@ -205,8 +207,23 @@ def test_parsing_helpers():
     patch = "--- a/f.py\n+++ b/f.py\n@@ -3,3 +3,3 @@\n a\n-b\n+c\n d\n"
     assert P.changed_lines(patch) == [("f.py", 4)]
     assert resolve.c3({"D": ["B", "C"], "B": ["A"], "C": ["A"]}, "D") == ["D", "B", "C", "A"]
-    with pytest.raises(ValueError):
-        resolve.c3({"A": ["B"], "B": ["A"]}, "A")
+    assert resolve.c3({"E": ["D", "C"], "D": ["B", "C"], "B": ["A"], "C": ["A"]}, "E") == ["E", "D", "B", "C", "A"]
+    for bases, name in (({"A": ["B"], "B": ["A"]}, "A"), ({"A": ["A"]}, "A"), ({"X": ["A", "B"], "Y": ["B", "A"], "Z": ["X", "Y"]}, "Z")):
+        with pytest.raises(ValueError):
+            resolve.c3(bases, name)
+    dice = random.Random(9)
+    for _ in range(60):  # against Python's own classes
+        bases, made = {}, {}
+        for i in range(7):
+            own = dice.sample(sorted(made), dice.randrange(0, min(3, len(made)) + 1))
+            try:
+                made[f"C{i}"] = type(f"C{i}", tuple(made[b] for b in own), {})
+            except TypeError:
+                with pytest.raises(ValueError):
+                    resolve.c3(bases | {f"C{i}": own}, f"C{i}")
+                continue
+            bases[f"C{i}"] = own
+            assert resolve.c3(bases, f"C{i}") == [c.__name__ for c in made[f"C{i}"].__mro__[:-1]]
 
 
 def test_api_edges(spark):
@@ -219,15 +236,19 @@ def test_ignore_rules_and_scan(spark, tmp_path):
     rules = {"": ["*.log", "build/", "!keep.log", "/top.txt"], "sub": ["*.tmp"]}
     verdicts = {p: files.ignored(p, rules) for p in ("a.log", "keep.log", "x/build/y", "build", "top.txt", "x/top.txt", "sub/a.tmp", "a.tmp", ".git/config")}
     assert verdicts == {"a.log": True, "keep.log": False, "x/build/y": True, "build": False, "top.txt": True, "x/top.txt": False, "sub/a.tmp": True, "a.tmp": False, ".git/config": True}
-    for name, text in (("m.py", "x = 1\n"), ("a.log", "no"), ("sub/n.py", "y = 2\n"), (".gitignore", "*.log\n")):
+    for name, text in (("m.py", "x = 1\n"), ("a.log", "no"), ("sub/n.py", "y = 2\n"), (".gitignore", "*.log\n"), ("pkg/__init__.py", ""), ("pkg/_private.py", "z = 3\n"), (".hidden/.dot.ts", "let a = 1;\n"), (".git/config", "no"), ("Main.java", "class Main {}\n")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
-    got = {r.path: r.language for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"m.py": "python", "sub/n.py": "python"}
+    (tmp_path / "link.py").symlink_to("m.py")
+    (tmp_path / "folder").symlink_to("sub")
+    got = {r.path: r for r in files.scan(spark, str(tmp_path)).collect()}
+    assert {p: r.language for p, r in got.items()} == {".gitignore": None, ".hidden/.dot.ts": "typescript", "Main.java": "java", "folder": None, "link.py": "python", "m.py": "python", "pkg/__init__.py": "python", "pkg/_private.py": "python", "sub/n.py": "python"}
+    assert bytes(got["link.py"].content) == b"symlink\0m.py" and got["link.py"].digest == hashlib.sha256(b"symlink\0m.py").hexdigest() and got["m.py"].digest == hashlib.sha256(b"x = 1\n").hexdigest()
+    assert files.scan(spark, str(tmp_path / ".git")).count() == 1
 
 
 def test_snapshots_publish_whole_or_not_at_all(spark, tmp_path):
-    store = files.Snapshots(str(tmp_path / "s"))
+    store = files.Snapshots(spark, str(tmp_path / "s"))
     symbols = spark.createDataFrame([("a",), ("b",)], "id string")
     edges = spark.createDataFrame([("a", "b")], "source string, target string")
     assert store.publish({"symbols": symbols, "edges": edges}, 0) == 1
@@ -235,8 +256,97 @@ def test_snapshots_publish_whole_or_not_at_all(spark, tmp_path):
         store.publish({"symbols": symbols}, 0)
     with pytest.raises(ValueError):
         store.publish({"symbols": symbols.filter("id = 'a'"), "edges": edges}, 1)
-    assert store.version == 1 and store.load(spark, "symbols").count() == 2
-    assert store.publish({"symbols": symbols.limit(0), "edges": edges.limit(0)}, 1) == 2 and store.erase(2) == [1]
+    assert store.version == 1 and store.load("symbols").count() == 2 and store.status() == {"version": 1, "symbols": 2, "edges": 1}
+    assert store.publish({"symbols": symbols.limit(0), "edges": edges.limit(0)}, 1) == 2 and store.erase(2) == [1] and store.version == 2
+    assert [n for n in store.store.names() if not n.startswith(".")] == ["manifest.json", "v2"]
+
+
+def test_retrieval_cache_is_made_once(spark, tmp_path):
+    cache, made = files.RetrievalCache(spark, str(tmp_path / "c")), []
+
+    def make():
+        made.append(1)
+        return {"ranking": spark.createDataFrame([(1, "a")], "query_id int, id string")}
+
+    for key in ({"version": 1, "encoder": "x"}, {"encoder": "x", "version": 1}, {"version": 2, "encoder": "x"}):
+        assert cache.get(key, make)["ranking"].first().id == "a"
+    assert len(made) == 2
+    # a second maker that comes late reads what the first put in place
+    key = {"version": 3}
+
+    def slow():
+        files.RetrievalCache(spark, str(tmp_path / "c")).get(key, make)
+        return {"ranking": spark.createDataFrame([(1, "late")], "query_id int, id string")}
+
+    assert cache.get(key, slow)["ranking"].first().id == "a"
+
+
+def test_postings_index_equals_a_fresh_one_at_each_step(spark, tmp_path):
+    """Random additions, replacements and removals; after each the search is that of an index made anew."""
+    dice, state = random.Random(35), {}
+    fields = ["signature", "body"]
+    ask = spark.createDataFrame([(1, "red blue"), (2, "green_tree HTTPServer"), (3, "nothing here")], "q int, t string")
+    frame = lambda rows: spark.createDataFrame([(i, *r) for i, r in rows.items()], "id string, signature string, body string")
+    text = lambda: " ".join(dice.choice(["red", "blue", "green_tree", "HTTPServer", "x == y", "tree"]) for _ in range(dice.randrange(0, 6)))
+    index = None
+    for step in range(4):
+        changed = {str(dice.randrange(12)): (text(), text()) for _ in range(5)}
+        removed = [i for i in state if i not in changed and dice.random() < 0.3]
+        if index is None:
+            index = lexical.PostingsIndex.build(frame(changed), "id", fields, str(tmp_path / "i"))
+        else:
+            index.update(frame(changed), "id", spark.createDataFrame([(i,) for i in removed], "id string"))
+        state = {i: r for i, r in (state | changed).items() if i not in removed}
+        rows = lambda df: sorted((r.query_id, r.id, round(r.score, 9), r.rank) for r in df.collect())
+        assert rows(index.search(ask, "q", "t", 5)) == rows(lexical.search(frame(state), ask, "id", fields, "q", "t", 5))
+    compact = index.compacted(str(tmp_path / "j"))
+    assert rows(compact.search(ask, "q", "t", 5)) == rows(index.search(ask, "q", "t", 5)) and compact.documents().count() == len(state)
+
+
+def test_compound_words_by_one_expression(spark):
+    """Against the plain rule: an identifier with an underscore or more than one part."""
+    dice = random.Random(6)
+    letters = list("abAB12_éÉßñ٣ⅣⅫ. x")
+    texts = ["".join(dice.choice(letters) for _ in range(30)) for _ in range(150)] + ["HTTPServer2 a_b ABc ABÉ Aé über Über ٣٣ a٣ AB٣ x1"]
+    part = r"[A-Z]+(?=[A-Z][a-z]|(?![\p{L}\p{N}]))|[A-Z]?[a-z]+|[0-9]+|[\p{L}\p{No}\p{Nl}]+"
+    plain = lambda t: sorted(w for w in regex.findall(r"[\p{L}\p{N}_]+", t) if "_" in w or len(regex.findall(part, w)) > 1)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(T.COMPOUND), F.lit(0)).alias("c")).collect()
+    assert all(sorted(r.c) == plain(r.t) for r in got)
+
+
+SOURCES = {
+    "a/shop.ts": 'import { Base, x as y } from "./base";\nimport * as util from "../lib/util";\n// class Fake {\nexport class Cart<T> extends Base implements Thing {\n  constructor(store: Store) {\n    super(store);\n  }\n  total(rows: number[]): number {\n    const s = "function no() {";\n    return this.price(rows.map((r) => util.f(r)));\n  }\n  async price(r: number) {\n    if (r) { return y(r); }\n    return helper(r);\n  }\n}\nexport function helper(a: number) {\n  return a;\n}\nconst go = async (b) => {\n  helper(b);\n};\n',
+    "a/base.ts": "export class Base {\n  load() { return 1; }\n}\nexport function x(r) { return r; }\n",
+    "lib/util.ts": "export function f(r) {\n  return r;\n}\n",
+    "shop/Main.java": 'package shop;\nimport util.*;\npublic class Main extends Base implements Runnable {\n  public Main(int a) {\n    this.run();\n  }\n  @Override\n  public void run() throws Exception {\n    for (int i = 0; i < 3; i++) { helper(i); }\n    Tool x = new Tool();\n    x.use("a {");\n  }\n  static int helper(int i) { return i; }\n}\n',
+    "util/Tool.java": "package util;\npublic class Tool {\n  void use(String s) {}\n}\n",
+    "pkg/a.go": 'package pkg\n\nimport "fmt"\n\ntype Store struct {\n\trows int\n}\n\nfunc (s *Store) Load(key string) (int, error) {\n\ts.count()\n\tfmt.Println(key)\n\treturn helper(1), nil\n}\n\nfunc (s Store) count() int { return s.rows }\n',
+    "pkg/b.go": "package pkg\n\nfunc helper(n int) int {\n\tx := Store{}\n\treturn x.count() + missing(n)\n}\n",
+    "c/m.c": '#include <stdio.h>\n#include "twice.h"\nstatic int add(int a, int b) {\n  return a + b;\n}\nint main(void) {\n  printf("%d {", add(1, 2));\n  return twice(3);\n}\n',
+    "c/twice.c": "int twice(int n) {\n  return 2 * n;\n}\n",
+    "c/k.cpp": "namespace ns {\nclass K : public B, private C {\npublic:\n  K(int a) : a_(a) {}\n  int f() const { return this->g() + i(); }\n  int i() { return 1; }\n  int g();\n  int a_;\n};\nint K::g() {\n  return h(2);\n}\n}\nint h(int n) { return n; }\n",
+}
+
+
+def test_languages_with_braces(spark):
+    parsed = resolve.parsed(spark.createDataFrame([(p, t.encode()) for p, t in SOURCES.items()], "path string, content binary")).persist()
+    assert all(not r.diagnostics for r in parsed.collect())
+    symbols = resolve.table(parsed, "symbols").collect()
+    found = {(s.qualname, s.kind, s.start_line, s.end_line) for s in symbols if s.kind != "module"}
+    assert {("a.shop.Cart", "class", 4, 16), ("a.shop.Cart.total", "method", 8, 11), ("a.shop.helper", "function", 17, 19), ("a.shop.go", "function", 20, 22), ("shop.Main.run", "method", 7, 12), ("shop.Main.Main", "method", 4, 6), ("pkg.Store", "class", 5, 7), ("pkg.Store.Load", "method", 9, 13), ("pkg.helper", "function", 3, 6), ("c.m.main", "function", 6, 9), ("c.k.ns.K.g", "method", 10, 12), ("c.k.ns.K.K", "method", 4, 4), ("c.k.h", "function", 14, 14)} <= found
+    assert not any("Fake" in q or q.endswith(".no") for q, *_ in found)
+    for s in symbols:
+        assert SOURCES[s.path].encode()[s.start_byte : s.end_byte].decode() == s.body and hashlib.sha256(s.body.encode()).hexdigest() == s.content_hash
+    names = {s.id: s.qualname for s in symbols}
+    edges = {(names[r.source], names.get(r.target, r.target), r.kind, r.confidence) for r in resolve.resolve(parsed).collect()}
+    calls = {(a, b, c) for a, b, k, c in edges if k == "calls"}
+    assert calls == {
+        ("a.shop.Cart.total", "a.shop.Cart.price", 0.9), ("a.shop.Cart.total", "lib.util.f", 1.0), ("a.shop.Cart.price", "a.base.x", 1.0), ("a.shop.Cart.price", "a.shop.helper", 1.0), ("a.shop.go", "a.shop.helper", 1.0), ("a.shop.Cart.constructor", "dynamic:super", 0.5),
+        ("shop.Main.Main", "shop.Main.run", 0.9), ("shop.Main.run", "shop.Main.helper", 1.0), ("shop.Main.run", "util.Tool", 1.0), ("shop.Main.run", "util.Tool.use", 0.9),
+        ("pkg.Store.Load", "pkg.Store.count", 0.9), ("pkg.Store.Load", "pkg.helper", 0.9), ("pkg.helper", "pkg.Store.count", 0.9), ("pkg.helper", "external:missing", 0.4),
+        ("c.m.main", "c.m.add", 0.9), ("c.m.main", "c.twice.twice", 0.9), ("c.m.main", "external:printf", 0.4), ("c.k.ns.K.f", "c.k.ns.K.g", 0.9), ("c.k.ns.K.f", "c.k.ns.K.i", 0.9), ("c.k.ns.K.g", "c.k.h", 0.9),
+    }
+    assert ("a.shop.Cart", "a.base.Base", "inherits", 1.0) in edges
 
 
 def test_encoder_sees_each_text_once(spark):
