@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corvane.functions import text as T
+
 
 def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): ranked (query_id, item, rank) by first occurrence; null where a query has no gold."""
@@ -93,7 +95,14 @@ def leaked(added: DataFrame, base: DataFrame, index: DataFrame, least: int = 20)
 
 def chain_breaks(manifest: DataFrame) -> DataFrame:
     """Rows (pos, id, parent) whose parent isn't the row before."""
-    return manifest.withColumn("before", F.lag("id").over(Window.orderBy("pos"))).filter("before is not null and not parent <=> before").select("pos", "id", "parent")
+    # rows meet their predecessors through blocks of positions, so no task holds the whole manifest
+    block = F.floor(F.col("pos") / 4096)
+    along = Window.partitionBy("_block").orderBy("pos")
+    inside = manifest.withColumn("_block", block).withColumn("before", F.lag("id").over(along)).withColumn("_first", F.row_number().over(along) == 1)
+    ends = inside.groupBy("_block").agg(F.max_by("id", "pos").alias("last"))
+    handed = ends.withColumn("_last", F.lag("last").over(Window.orderBy("_block"))).select("_block", "_last")
+    joined = inside.join(handed, "_block").withColumn("before", F.when(F.col("_first"), F.col("_last")).otherwise(F.col("before")))
+    return joined.filter("before is not null and not parent <=> before").select("pos", "id", "parent")
 
 
 def shards(rows: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -110,3 +119,58 @@ def truncate_to_budget(files: DataFrame, by: list[str], order: list[str], cost:
     """The prefix of each group whose costs stay within the budget in sum."""
     running = F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return files.withColumn("used", running).filter(F.col("used") <= budget)
+
+
+def packed_recall(covered: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """(by, recall): share of the gold (query_id, id) that the covered symbols (by, id) hold; queries without gold have none."""
+    total = gold.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = covered.select(*by, "id").distinct().join(gold.distinct(), ["query_id", "id"]).groupBy(*by).agg(F.count(F.lit(1)).alias("h"))
+    return covered.select(*by).distinct().join(hits, by, "left").join(total, "query_id", "left").select(*by, (F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"))
+
+
+def covering_budget(recalls: DataFrame) -> DataFrame:
+    """(query_id, budget): the least tested budget at which all gold is covered, null if at none; larger budgets may cover less."""
+    return recalls.groupBy("query_id").agg(F.min(F.when(F.col("recall") == 1, F.col("budget"))).alias("budget"))
+
+
+def misses(recalls: DataFrame) -> DataFrame:
+    """Queries with gold of which nothing was found."""
+    return recalls.filter("recall = 0")
+
+
+def session_recall(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, recall, abstained): share of the gold sessions (query_id, item) among the k first found (query_id, item, rank); nothing found is an abstention."""
+    found = ranked.filter(F.col("rank") <= k)
+    some = found.select("query_id").distinct().withColumn("some", F.lit(True))
+    return recall_at_k(found, gold, k).join(some, "query_id", "full_outer").select("query_id", "recall", F.col("some").isNull().alias("abstained"))
+
+
+def answer_accuracy(questions: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """(group_name, n, accuracy) of answered questions, of all and by type, and of those that should abstain.
+
+    questions (question_id string, question_type, answer), hypotheses (question_id, hypothesis). An answer counts if its normal form is part of the
+    hypothesis's; a question whose id ends in _abs needs a phrase of abstention. Hypotheses for unknown questions raise.
+    """
+    if not hypotheses.join(questions, "question_id", "left_anti").isEmpty():
+        raise ValueError("hypotheses for unknown questions")
+    abstains = F.endswith("question_id", F.lit("_abs"))
+    good = F.when(abstains, T.abstains(F.col("hypothesis"))).otherwise(T.contains_answer(F.col("hypothesis"), F.col("answer")))
+    groups = F.when(abstains, F.array(F.lit("all"), F.col("question_type"), F.lit("abstention"))).otherwise(F.array(F.lit("all"), F.col("question_type")))
+    rows = questions.join(hypotheses, "question_id").select(F.coalesce(good, F.lit(False)).cast("double").alias("good"), F.explode(groups).alias("group_name"))
+    return rows.groupBy("group_name").agg(F.count(F.lit(1)).alias("n"), F.avg("good").alias("accuracy"))
+
+
+def agent_summary(results: DataFrame) -> DataFrame:
+    """(condition, solved, tasks) of results (task, condition, passed)."""
+    return results.groupBy("condition").agg(F.sum(F.col("passed").cast("long")).alias("solved"), F.count(F.lit(1)).alias("tasks"))
+
+
+def load_questions(spark: SparkSession, path: str, size: int, sha256: str, rows: int) -> DataFrame:
+    """A published set of questions in JSON, if it is the one that is meant: size, digest, number and unique ids are checked."""
+    found = spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256).alias("digest")).collect()
+    if [tuple(r) for r in found] != [(size, sha256)]:
+        raise ValueError("the file differs from the one published")
+    df = spark.read.option("multiLine", "true").json(path)
+    if df.count() != rows or df.select("question_id").distinct().count() != rows:
+        raise ValueError(f"expected {rows} questions")
+    return df

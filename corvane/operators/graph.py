@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from corvane.functions.text import code_tokens
 from corvane.session import ensure_checkpoint_dir
 
 EDGE_WEIGHTS = {"calls": 1.0, "imports": 0.5, "contains": 0.3, "defines": 0.3, "inherits": 0.7, "tests": 1.0, "config": 0.6, "may_call": 0.3}
@@ -130,3 +132,38 @@ def neighbourhood(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """All edges that touch one of the ids."""
     keys = ids.select("id")
     return edges.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target", "kind", "confidence").union(edges.join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "kind", "confidence")).distinct()
+
+
+def repo_map(symbols: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 50, exact_rounds: int | None = None, language: str = "python") -> DataFrame:
+    """(query_id, id, score, rank) of the baseline that knows names only: symbols (id, qualname) are seeded by the tokens they share with a query
+    (query_id, text), and the seeds spread over the edges between symbols. A query that shares none begins everywhere."""
+    named = symbols.select("id", F.explode(F.array_distinct(code_tokens(F.col("qualname"), language))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("text"), language))).alias("term"))
+    shared = named.join(asked, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    # a query without seeds is one row of score 0 of any symbol, which stands for the uniform start
+    least = symbols.agg(F.min("id").alias("id"))
+    none = queries.select("query_id").distinct().join(shared.select("query_id").distinct(), "query_id", "left_anti").crossJoin(F.broadcast(least)).withColumn("score", F.lit(0.0))
+    nodes = symbols.select("id").distinct()
+    spread = personalized_pagerank(nodes, adjacency(nodes, edges), shared.unionByName(none), exact_rounds=exact_rounds)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
+    return spread.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def lenses(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol_id, path, line, fact_id, freshness, text, n) for each symbol (id, path, start_line) with anchored facts (fact_id, symbol_id, freshness, text):
+    its worst fact (orphaned, then stale, then fresh, then by id), and how many there are."""
+    worst = F.when(F.col("freshness") == "fresh", 2).when(F.col("freshness") == "stale", 1).otherwise(0)
+    best = facts.groupBy("symbol_id").agg(F.min_by(F.struct("fact_id", "freshness", "text"), F.struct(worst.alias("w"), F.col("fact_id").alias("f"))).alias("f"), F.count(F.lit(1)).alias("n"))
+    return best.join(symbols.select(F.col("id").alias("symbol_id"), "path", (F.greatest(F.lit(1), F.col("start_line")) - 1).alias("line")), "symbol_id").select("symbol_id", "path", "line", "f.fact_id", "f.freshness", "f.text", "n")
+
+
+def symbol_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(point_id, id): the symbol (id, path, kind, start_line) that begins last at or above each point (point_id, path, line); modules don't count.
+
+    An as-of join by one ordered pass: points and beginnings of a path are sorted together and the last beginning is carried on.
+    """
+    starts = symbols.filter("kind <> 'module'").groupBy("path", F.col("start_line").alias("line")).agg(F.min("id").alias("id")).select("path", "line", F.lit(0).alias("_kind"), "id", F.lit(None).cast(dict(points.dtypes)["point_id"]).alias("point_id"))
+    asked = points.select("path", F.col("line").cast(dict(starts.dtypes)["line"]).alias("line"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(symbols.dtypes)["id"]).alias("id"), "point_id")
+    along = Window.partitionBy("path").orderBy("line", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = starts.unionByName(asked).withColumn("id", F.last("id", ignorenulls=True).over(along))
+    return found.filter("_kind = 1 and id is not null").select("point_id", "id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corvane.operators.lexical import search
+from corvane.operators.snapshot import renames
 from corvane.session import ensure_checkpoint_dir
 
 SOURCE_PRIORITY = {"code": 3, "test": 2, "user": 1}
@@ -182,6 +183,13 @@ def refresh(facts: DataFrame, anchors: DataFrame, symbols: DataFrame, renames: D
     return facts.join(states, "fact_id", "left").select("fact_id", fresh.alias("freshness")), moved
 
 
+def refresh_after(facts: DataFrame, anchors: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What runs after each index: symbols (id, content_hash) of the snapshots before and after give the renames, which `refresh` follows."""
+    gone = before.join(after.select("id"), "id", "left_anti")
+    new = after.join(before.select("id"), "id", "left_anti")
+    return refresh(facts, anchors, after.select("id", F.col("content_hash").alias("hash")), renames(gone, new))
+
+
 def revalidate(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     """Anchors with the current hashes; a deleted anchor raises."""
     joined = anchors.join(symbols.select(F.col("id").alias("symbol_id"), F.col("hash").alias("_now")), "symbol_id", "left")

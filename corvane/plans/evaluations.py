@@ -10,7 +10,7 @@ from corvane.operators import evaluation as E
 from corvane.operators import lexical
 from corvane.plans.adapters import corpus
 from corvane.plans.registry import query, table
-from corvane.plans.retrieval import FIELDS, bm25f_sql
+from corvane.plans.retrieval import ANSWER_SQL, FIELDS, bm25f_sql
 from corvane.session import small, spread
 
 SHARED = 8
@@ -148,7 +148,7 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT o_orderkey AS pos, o_orderkey AS id, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE lag(o_orderkey) OVER (ORDER BY o_orderkey) END AS parent, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS b FROM orders) SELECT pos, id, parent FROM m WHERE b IS NOT NULL AND parent IS DISTINCT FROM b")
 def manifest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("id"))
-    parent = F.when(F.col("id") % 50 == 0, 0).otherwise(F.lag("id").over(Window.orderBy("pos")))
+    parent = F.when(F.col("id") % 50 == 0, 0).when(F.col("id") > 0, F.col("id") - 1)
     return E.chain_breaks(orders.withColumn("parent", parent))
 
 
@@ -161,3 +161,68 @@ def contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
     return E.truncate_to_budget(docs, ["source"], ["doc_id"], "bytes", 20_000).select("source", "doc_id", "used")
+
+
+@query(
+    """WITH b AS (SELECT unnest([60, 600, 6000])::INT AS budget), c AS (SELECT p_brand AS query_id, p_partkey AS id, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS used, p_size <= 4 AND p_partkey % 9 = 0 AS gold FROM part),
+n AS (SELECT query_id, count(*) FILTER (gold) AS n FROM c GROUP BY 1), r AS (SELECT query_id, budget, CASE WHEN n > 0 THEN count(*) FILTER (gold) / n END AS recall FROM c JOIN b ON used <= budget JOIN n USING (query_id) GROUP BY query_id, budget, n)
+SELECT query_id, budget, round(recall, 6) AS recall, min(CASE WHEN recall = 1 THEN budget END) OVER (PARTITION BY query_id) AS covering FROM r"""
+)
+def budget_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand packed in order of size at three budgets, some of the small ones gold; and the least budget that covers all gold."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), "p_size")
+    gold = part.filter("p_size <= 4 and id % 9 = 0").select("query_id", "id")
+    packed = None
+    for budget in (60, 600, 6000):
+        one = E.truncate_to_budget(part, ["query_id"], ["p_size", "id"], "p_size", budget).withColumn("budget", F.lit(budget))
+        packed = one if packed is None else packed.unionByName(one)
+    recalls = E.packed_recall(packed, gold, ["query_id", "budget"])
+    return recalls.join(E.covering_budget(recalls).withColumnRenamed("budget", "covering"), "query_id").select("query_id", "budget", F.round("recall", 6).alias("recall"), "covering")
+
+
+@query(
+    "WITH first AS (SELECT l_orderkey AS query_id, l_suppkey AS item, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL), best AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, item) <= 2), gold AS (SELECT DISTINCT l_orderkey AS query_id, l_suppkey AS item FROM lineitem WHERE l_returnflag = 'R') SELECT DISTINCT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM best JOIN gold USING (query_id, item))"
+)
+def miss_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of whose returned lines none is among the first two suppliers."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("item"), F.col("l_linenumber").alias("rank"), "l_returnflag")
+    return E.misses(E.recall_at_k(lines, lines.filter("l_returnflag = 'R'"), 2)).select("query_id")
+
+
+SESSIONS = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1"
+SESSION_CORPUS = f"corpus AS (SELECT conv_id AS id, '' AS path, '' AS signature, '' AS docstring, text AS body FROM ({SESSIONS}))"
+
+
+@query(f"WITH {bm25f_sql('SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0', k=1_000_000_000, corpus=SESSION_CORPUS)}, past AS (SELECT * FROM ranked WHERE id <= query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5), q AS (SELECT conv_id AS query_id FROM conversations WHERE turn = 0) SELECT query_id, coalesce(max((id = query_id)::INT), 0)::DOUBLE AS recall, count(id) = 0 AS abstained FROM q LEFT JOIN past USING (query_id) GROUP BY 1")
+def session_recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's first turn asks for the conversation among those that were before it, itself included; later ones are left out."""
+    turns = table(spark, sf_dir, "conversations")
+    sessions = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("body"))
+    docs = sessions.select("conv_id", F.lit("").alias("signature"), F.lit("").alias("docstring"), "body")
+    asked = turns.filter("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    found = lexical.search(docs, asked, "conv_id", FIELDS, "query_id", "text", None).filter("id <= query_id").select("query_id", F.col("id").alias("item"), "rank")
+    past = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    gold = asked.select("query_id", F.col("query_id").alias("item"))
+    return E.session_recall(past, gold).select("query_id", "recall", "abstained")
+
+
+@query(
+    f"""WITH q AS (SELECT conv_id || CASE WHEN conv_id % 7 = 0 THEN '_abs' ELSE '' END AS question_id, 'type' || conv_id % 3 AS question_type, split_part(text, ' ', 2) AS answer FROM conversations WHERE turn = 0),
+h AS (SELECT conv_id || CASE WHEN conv_id % 7 = 0 THEN '_abs' ELSE '' END AS question_id, text || CASE WHEN conv_id % 2 = 0 THEN ' I do not know' ELSE '' END AS hypothesis FROM conversations WHERE turn = 1),
+g AS (SELECT CASE WHEN ends_with(question_id, '_abs') THEN contains(hypothesis, 'not know') ELSE {ANSWER_SQL.format('answer')} <> '' AND contains({ANSWER_SQL.format('hypothesis')}, {ANSWER_SQL.format('answer')}) END AS good,
+  unnest(CASE WHEN ends_with(question_id, '_abs') THEN ['all', question_type, 'abstention'] ELSE ['all', question_type] END) AS group_name FROM q JOIN h USING (question_id))
+SELECT group_name, count(*) AS n, round(avg(good::INT), 6) AS accuracy FROM g GROUP BY 1"""
+)
+def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's second turn as an answer that should hold the second word of its first."""
+    turns = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id")
+    id = F.concat(k.cast("string"), F.when(k % 7 == 0, "_abs").otherwise("")).alias("question_id")
+    questions = turns.filter("turn = 0").select(id, F.concat(F.lit("type"), (k % 3).cast("string")).alias("question_type"), F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")).alias("answer"))
+    hypotheses = turns.filter("turn = 1").select(id, F.concat("text", F.when(k % 2 == 0, " I do not know").otherwise("")).alias("hypothesis"))
+    return E.answer_accuracy(questions, hypotheses).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("SELECT event_type AS condition, sum((value > 5)::INT)::BIGINT AS solved, count(*) AS tasks FROM events GROUP BY 1")
+def agent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.agent_summary(table(spark, sf_dir, "events").select(F.col("event_id").alias("task"), F.col("event_type").alias("condition"), F.coalesce(F.col("value") > 5, F.lit(False)).alias("passed")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corvane.operators import branches as B
 from corvane.operators import memory as M
 from corvane.plans.registry import query, table
 
@@ -131,6 +132,32 @@ def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.common_base(found.filter(F.col("root") == last), found.filter(F.col("root") == last - 1), ops)
 
 
+#: Orders as commits along first parents; each changes one of fifty facts.
+LINE_SQL = "commits AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 1 THEN o_orderkey // 2 END AS up, (o_custkey % 50)::VARCHAR AS fact_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus || ':' || o_orderkey END AS payload FROM orders), line AS (SELECT id AS root, id FROM commits WHERE id % 100 = 0 UNION ALL SELECT root, up FROM line JOIN commits USING (id) WHERE up IS NOT NULL)"
+
+
+def commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("long")
+    made = operations(spark, sf_dir).withColumnRenamed("op_id", "commit_id")
+    payload = F.when(k % 7 != 0, F.concat("o_orderstatus", F.lit(":"), k.cast("string")))
+    return made, orders.select(k.alias("op_id"), k.alias("commit_id"), k.alias("seq"), (F.col("o_custkey") % 50).cast("string").alias("fact_id"), payload.alias("payload"))
+
+
+@query(f"WITH RECURSIVE {LINE_SQL} SELECT root, fact_id, payload FROM (SELECT root, fact_id, payload, row_number() OVER (PARTITION BY root, fact_id ORDER BY id DESC) AS r FROM line JOIN commits USING (id)) WHERE r = 1 AND payload IS NOT NULL")
+def branch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts at each commit whose key is divisible by 100."""
+    made, ops = commits(spark, sf_dir)
+    return B.states(made, ops, heads(spark, sf_dir, "o_orderkey % 100 = 0")).select("root", "fact_id", "payload")
+
+
+@query(f"WITH RECURSIVE {LINE_SQL}, t AS (SELECT l.root, c.id, c.payload FROM line l JOIN commits c USING (id) JOIN commits x ON x.id = l.root AND x.fact_id = c.fact_id AND c.id < x.id), b AS (SELECT root, payload FROM t QUALIFY row_number() OVER (PARTITION BY root ORDER BY id DESC) = 1) SELECT c.id AS op_id, fact_id, b.payload FROM commits c LEFT JOIN b ON b.root = c.id WHERE c.id % 100 = 0")
+def reverted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reverting each operation whose key is divisible by 100 puts back."""
+    made, ops = commits(spark, sf_dir)
+    return B.before(made, ops, ops.filter("op_id % 100 = 0").select("op_id"))
+
+
 ANCHORS_SQL = "anchors AS (SELECT l_orderkey AS fact_id, l_partkey AS symbol_id, min(p_size) AS content_hash FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), symbols AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS id, CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE p_size END AS hash FROM part WHERE p_partkey % 19 <> 0), renames AS (SELECT p_partkey AS old_id, p_partkey + 1000000 AS new_id FROM part WHERE p_partkey % 13 = 0)"
 
 
@@ -155,6 +182,19 @@ def refresh_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.refresh(facts, anchors, symbols, renames)[0]
 
 
+@query(f"WITH {ANCHORS_SQL.split(', symbols AS')[0]}, before AS (SELECT p_partkey AS id, sha256(p_partkey::VARCHAR) AS h FROM part), after AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN p_partkey + 1000000000 ELSE p_partkey END AS id, CASE WHEN p_partkey % 17 = 0 THEN 'x' ELSE sha256(p_partkey::VARCHAR) END AS h FROM part WHERE p_partkey % 19 <> 0), m AS (SELECT fact_id, CASE WHEN t.id IS NOT NULL THEN t.id ELSE symbol_id END AS symbol_id, sha256(symbol_id::VARCHAR) AS h FROM anchors LEFT JOIN after t ON t.id = symbol_id + 1000000000 AND t.h = sha256(symbol_id::VARCHAR)), s AS (SELECT fact_id, bool_or(a.id IS NULL) AS gone, bool_or(a.h <> m.h) AS old FROM m LEFT JOIN after a ON a.id = symbol_id GROUP BY 1) SELECT fact_id, CASE WHEN gone THEN 'orphaned' WHEN old THEN 'stale' ELSE 'fresh' END AS freshness FROM s")
+def refresh_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts after a snapshot in which parts were renamed, edited and deleted; renames are told from the snapshots."""
+    anchors, *_ = anchored(spark, sf_dir)
+    k = F.col("p_partkey").cast("long")
+    part, digest = table(spark, sf_dir, "part"), F.sha2(k.cast("string"), 256)
+    before = part.select(k.alias("id"), digest.alias("content_hash"))
+    after = part.filter(k % 19 != 0).select(F.when(k % 13 == 0, k + 1_000_000_000).otherwise(k).alias("id"), F.when(k % 17 == 0, "x").otherwise(digest).alias("content_hash"))
+    facts = anchors.select("fact_id").distinct().withColumn("freshness", F.lit("fresh"))
+    hashed = anchors.select("fact_id", F.col("symbol_id").cast("long").alias("symbol_id"), F.sha2(F.col("symbol_id").cast("string"), 256).alias("content_hash"))
+    return M.refresh_after(facts, hashed, before, after)[0]
+
+
 @query("SELECT a.s_suppkey AS fact_id, b.s_suppkey AS other_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey % 3 <> b.s_suppkey % 3")
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fact_id"), F.col("s_nationkey").cast("string").alias("subject"), (F.col("s_suppkey") % 3).cast("string").alias("text"))

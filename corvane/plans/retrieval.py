@@ -12,7 +12,8 @@ from corvane.functions import text as T
 from corvane.operators import encode, fusion, graph, lexical, vector
 from corvane.plans.adapters import EDGES_SQL, corpus, edges, nodes
 from corvane.plans.registry import query, table
-from corvane.session import ensure_checkpoint_dir, spread
+from corvane.session import cut, ensure_checkpoint_dir, spread
+from corvane.sources import files
 
 FIELDS = ["signature", "docstring", "body"]
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["python"].split())
@@ -32,10 +33,10 @@ def sql_code_tokens(text: str) -> str:
 CORPUS_SQL = "corpus AS (SELECT doc_id AS id, source AS path, split_part(text, chr(10), 1) AS signature, lang AS docstring, text AS body FROM documents)"
 
 
-def bm25f_sql(queries: str, keep: str = "true", k: int = 10, weights: tuple[float, float, float] = (3.0, 2.0, 1.0)) -> str:
+def bm25f_sql(queries: str, keep: str = "true", k: int = 10, weights: tuple[float, float, float] = (3.0, 2.0, 1.0), corpus: str = CORPUS_SQL) -> str:
     """CTEs up to ranked(query_id, id, score, rank)."""
     return f"""
-{CORPUS_SQL},
+{corpus},
 queries AS ({queries}),
 fields AS (
   SELECT id, 'signature' AS field, {weights[0]}::DOUBLE AS w, {sql_code_tokens('signature')} AS tokens FROM corpus WHERE {keep}
@@ -210,13 +211,37 @@ def cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(after, "id").select("id", F.round(vector.cosine_distance(F.col("v"), F.col("w")), 6).alias("distance"))
 
 
-@query()
+def _recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    hits = found.select("query_id", "id").join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi").count()
+    return hits / max(1, exact.count())
+
+
+@query("SELECT count(*) AS indexed, count(*) FILTER (vec_id % 100 = 0) AS queries, true AS recall_reached FROM embeddings")
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted file: centroids from a bounded sample, every row indexed, lists re-ranked exactly."""
-    v = vectors(spark, sf_dir).select("id", "v")
+    """Inverted file: centroids from a bounded sample, every row indexed, lists re-ranked exactly; its recall at ten against brute force must reach 0.9."""
+    v = cut(vectors(spark, sf_dir).select("id", "v"))
+    asked = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "v")
     ivf = vector.InvertedFile.fit(v)
-    found = ivf.search(ivf.index(v), v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), 10, probes=8)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    index = cut(ivf.index(v))
+    recall = _recall(ivf.search(index, asked, 10), vector.exact_knn(v, asked, 10))
+    return index.agg(F.count(F.lit(1)).alias("indexed")).withColumn("queries", F.lit(asked.count())).withColumn("recall_reached", F.lit(recall >= 0.9))
+
+
+@query("SELECT count(*) FILTER (vec_id % 9 <> 0) AS indexed, true AS recall_reached, true AS same_as_kept FROM embeddings")
+def ann_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index with a ninth of its rows removed and another ninth replaced, saved, loaded and checked."""
+    v = cut(vectors(spark, sf_dir).select("id", "v"))
+    ivf = vector.InvertedFile.fit(v)
+    kept = ivf.remove(ivf.index(v), v.filter("id % 9 = 0"))
+    kept = cut(ivf.update(kept, v.filter("id % 9 = 1")))
+    folder = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    ivf.save(kept, folder)
+    loaded, index = vector.InvertedFile.load(spark, folder)
+    asked, left = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), v.filter("id % 9 <> 0")
+    found = cut(loaded.search(index, asked, 10))
+    same = found.select("query_id", "id").exceptAll(ivf.search(kept, asked, 10).select("query_id", "id")).isEmpty()
+    recall = _recall(found, vector.exact_knn(left, asked, 10))
+    return index.agg(F.count(F.lit(1)).alias("indexed")).withColumn("recall_reached", F.lit(recall >= 0.9)).withColumn("same_as_kept", F.lit(same))
 
 
 @query(
@@ -417,3 +442,55 @@ def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = graph.personalized_pagerank(n, g, fused, exact_rounds=10)
     best = fusion.top(fusion.combine(n, fused, spread), 10)
     return fusion.explain(best, lex, vec, spread).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "lexical", "vector", F.round("graph_score", 6).alias("graph_score"), "reasons")
+
+
+MAP_SQL = f"""{EDGES_SQL}, named AS (SELECT 'r' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, c_name FROM customer),
+asked AS (SELECT * FROM (VALUES (1, 'ASIA and NATION_3'), (2, 'Customer of EUROPE'), (3, 'zzz')) v(query_id, text)),
+terms AS (SELECT DISTINCT id, unnest({sql_code_tokens('name')}) AS term FROM named), words AS (SELECT DISTINCT query_id, unnest({sql_code_tokens('text')}) AS term FROM asked),
+shared AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM terms JOIN words USING (term) GROUP BY ALL),
+r AS (SELECT query_id, id, score / sum(score) OVER (PARTITION BY query_id) AS r FROM shared UNION ALL SELECT query_id, id, 1.0 / count(*) OVER (PARTITION BY query_id) FROM asked, named WHERE query_id NOT IN (SELECT query_id FROM shared)),
+graph AS (SELECT source AS src, target AS dst, sum(CASE kind WHEN 'calls' THEN 1.0 WHEN 'imports' THEN 0.5 WHEN 'contains' THEN 0.3 ELSE 0.1 END * confidence) AS w FROM edges WHERE source IN (SELECT id FROM named) AND target IN (SELECT id FROM named) GROUP BY ALL),
+steps AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM graph), p0 AS (SELECT query_id, id, r AS score FROM r)"""
+
+
+def _map_rounds(n: int) -> str:
+    out = MAP_SQL
+    for i in range(n):
+        out += f""", d{i} AS (SELECT query_id, sum(score) AS d FROM p{i} WHERE id NOT IN (SELECT src FROM steps) GROUP BY query_id),
+p{i + 1} AS (SELECT query_id, id, sum(score) AS score FROM (SELECT r.query_id, r.id, (0.15 + 0.85 * coalesce(d, 0)) * r AS score FROM r LEFT JOIN d{i} USING (query_id) UNION ALL SELECT query_id, dst, 0.85 * score * p FROM p{i} JOIN steps ON src = id) GROUP BY query_id, id)"""
+    return out
+
+
+@query(f"WITH {_map_rounds(4)} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM p4 QUALIFY rank <= 50")
+def repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline by names: regions, nations and customers as symbols; one query shares no token with any."""
+    one = lambda t, p, k, n: table(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.col(n).alias("qualname"))
+    named = one("region", "r", "r_regionkey", "r_name").unionByName(one("nation", "n", "n_nationkey", "n_name")).unionByName(one("customer", "c", "c_custkey", "c_name"))
+    asked = spark.sql("SELECT * FROM VALUES (1, 'ASIA and NATION_3'), (2, 'Customer of EUROPE'), (3, 'zzz') AS t(query_id, text)")
+    return _found(graph.repo_map(named, edges(spark, sf_dir), asked, exact_rounds=4))
+
+
+@query("WITH f AS (SELECT o_custkey AS symbol_id, o_orderkey AS fact_id, CASE o_orderkey % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' ELSE 'orphaned' END AS freshness, o_orderstatus AS text FROM orders) SELECT symbol_id, c_nationkey::VARCHAR AS path, (greatest(1, c_custkey % 90) - 1)::BIGINT AS line, fact_id, freshness, text, n FROM (SELECT *, count(*) OVER (PARTITION BY symbol_id) AS n FROM f QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY CASE freshness WHEN 'fresh' THEN 2 WHEN 'stale' THEN 1 ELSE 0 END, fact_id) = 1) JOIN customer ON c_custkey = symbol_id")
+def lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as symbols, their orders as facts."""
+    k = F.col("o_orderkey")
+    facts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol_id"), k.alias("fact_id"), F.when(k % 3 == 0, "fresh").when(k % 3 == 1, "stale").otherwise("orphaned").alias("freshness"), F.col("o_orderstatus").alias("text"))
+    symbols = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("path"), (F.col("c_custkey") % 90).alias("start_line"))
+    return graph.lenses(facts, symbols)
+
+
+@query("WITH s AS (SELECT p_brand AS path, p_partkey AS id, (p_partkey * 7) % 400 AS line FROM part WHERE p_size <> 50), q AS (SELECT s_suppkey AS point_id, 'Brand#' || (11 + s_suppkey % 5) AS path, (s_suppkey * 13) % 420 AS at FROM supplier) SELECT point_id, min(id) AS id FROM (SELECT point_id, id, rank() OVER (PARTITION BY point_id ORDER BY line DESC) AS r FROM q JOIN s ON s.path = q.path AND s.line <= q.at) WHERE r = 1 GROUP BY 1")
+def symbol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that begins last at or above each point; those of size 50 are modules."""
+    symbols = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.when(F.col("p_size") == 50, "module").otherwise("function").alias("kind"), ((F.col("p_partkey") * 7) % 400).alias("start_line"))
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), F.concat(F.lit("Brand#"), (11 + F.col("s_suppkey") % 5).cast("string")).alias("path"), ((F.col("s_suppkey") * 13) % 420).alias("line"))
+    return graph.symbol_at(points, symbols)
+
+
+@query(f"WITH {EDGES_SQL} SELECT 'version' AS what, 1::BIGINT AS n UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'symbols', count(*) FROM (SELECT source FROM edges UNION SELECT target FROM edges)")
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published snapshot of symbols and edges, and what its status says."""
+    e = edges(spark, sf_dir)
+    store = files.Snapshots(spark, f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    store.publish({"symbols": nodes(e), "edges": e}, 0)
+    return spark.createDataFrame(list(store.status().items()), "what string, n long")

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable, Iterable
+
+import numpy as np
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from corvane.operators.lexical import PostingsIndex
 
 RESCAN = r"^\.git/(HEAD$|index$|refs(/|$))"
 STATE = r"^(\.git|\.venv|__pycache__)(/|$)"
@@ -40,6 +48,76 @@ def jobs(events: DataFrame) -> DataFrame:
     return found.select(F.array_sort("parse").alias("parse"), F.array_sort(F.array_except("remove", "parse")).alias("remove"), "full")
 
 
+def job_rows(events: DataFrame) -> DataFrame:
+    """(path, action) of a batch of any size, one row a path: parse or remove; what `jobs` says, not gathered into one row."""
+    gone = F.col("kind") == "deleted"
+    own = events.filter("kind <> 'rescan'").select("path", F.when(gone, "remove").otherwise("parse").alias("action"))
+    if "old_path" in events.columns:
+        own = own.unionByName(events.filter("old_path is not null").select(F.col("old_path").alias("path"), F.lit("remove").alias("action")))
+    # a path that is parsed isn't removed: "parse" comes first
+    return own.groupBy("path").agg(F.min("action").alias("action"))
+
+
 def maintain(stream: DataFrame, apply, checkpoint: str):
     """Runs `apply(batch, id)` over each micro-batch of what is there and ends; the caller's sink must take a batch again without harm."""
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
+EVENT = "kind string, path string, old_path string, ts timestamp"
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    """File events (created, modified, deleted, moved) as a stream of JSON lines that a watcher appends files of."""
+    return spark.readStream.schema(EVENT).json(folder)
+
+
+def apply_to_indexes(batch: DataFrame, contents: DataFrame, index: PostingsIndex, id: str = "path") -> None:
+    """One micro-batch of debounced events (path, kind): the postings of deleted paths go, those of the others are made again from `contents`.
+
+    Taking a batch again makes the same index, as a path's latest generation counts.
+    """
+    paths = batch.filter("kind <> 'rescan'").select("path", (F.col("kind") == "deleted").alias("gone")).distinct()
+    changed = contents.join(paths.filter("not gone").select("path"), "path", "left_semi")
+    removed = paths.join(contents.select("path"), "path", "left_anti").select(F.col("path").alias("id")).unionByName(paths.filter("gone").select(F.col("path").alias("id"))).distinct()
+    index.update(changed, id, removed.join(changed.select(F.col("path").alias("id")), "id", "left_anti"))
+
+
+class IndexJob:
+    """One background run at a time of a stream into an index; it can be cancelled, and begins again from its checkpoint after a failure."""
+
+    def __init__(self, start: Callable[[], StreamingQuery]) -> None:
+        self.start, self.query = start, None
+
+    def run(self) -> None:
+        if self.query is None or not self.query.isActive:
+            self.query = self.start()
+
+    def wait(self, attempts: int = 2) -> None:
+        """Until all that is there is done; a run that fails is begun again, as often as `attempts` allows."""
+        for n in range(attempts):
+            self.run()
+            try:
+                self.query.awaitTermination()
+                return
+            except StreamingQueryException:
+                if n + 1 == attempts:
+                    raise
+
+    def cancel(self) -> None:
+        """Any number of times, also when nothing runs."""
+        if self.query is not None and self.query.isActive:
+            self.query.stop()
+
+
+def refresh_seconds(changes: Iterable[Callable[[], None]], refresh: Callable[[], object], fresh: Callable[[], object]) -> dict[str, float]:
+    """Median and 95th percentile of the seconds that a refresh takes after each change; each must equal a fresh scan."""
+    seconds = []
+    for change in changes:
+        change()
+        began = time.perf_counter()
+        got = refresh()
+        seconds.append(time.perf_counter() - began)
+        if got != fresh():
+            raise AssertionError("a refresh differs from a fresh scan")
+    p50, p95 = np.quantile(seconds, [0.5, 0.95])
+    return {"n": len(seconds), "p50": float(p50), "p95": float(p95)}

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 
@@ -381,3 +382,201 @@ def test_watch(spark):
     assert {(r.path, r.kind, r.n) for r in quiet.collect()} == {("a.py", "deleted", 2), ("", "rescan", 2)}
     job = watch.jobs(quiet).first()
     assert job.full and job.remove == ["a.py"]
+
+
+def test_fact_store_against_a_plain_model(spark, tmp_path):
+    """Random writes on two branches, a merge, reverts, and forgetting with all that derives from it."""
+    from corvane.operators.branches import FactStore
+
+    store = FactStore(spark, str(tmp_path / "facts"))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    texts = lambda head=None: {r.id: r.text for r in store.facts(head).collect()}
+    add = lambda *rows: store.remember(frame([(i, t, d) for i, t, d in rows], "id string, text string, derived_from array<string>"))
+    first = add(("a", "one", []), ("b", "two", []))
+    assert texts() == {"a": "one", "b": "two"} and store.head == first
+    store.branch("feature")
+    store.switch("feature")
+    add(("c", "three", ["a"]))
+    store.update(frame([("b", "two of feature")], "fact_id string, text string"))
+    store.switch("main")
+    assert texts() == {"a": "one", "b": "two"}
+    store.update(frame([("a", "one of main")], "fact_id string, text string"))
+    assert store.common_base(store.head, store.branches()["feature"]) == first
+    assert {r.fact_id: r.conflict for r in store.preview("feature").collect()} == {"a": None, "b": None, "c": None}
+    merged = store.merge("feature")
+    assert texts() == {"a": "one of main", "b": "two of feature", "c": "three"}
+    assert texts(store.branches()["feature"]) == {"a": "one", "b": "two of feature", "c": "three"}
+    ops = {(r.kind, r.fact_id): r.op_id for r in store.table("operations").collect()}
+    store.revert_commit(merged)
+    assert texts() == {"a": "one of main", "b": "two"}
+    with pytest.raises(ValueError, match="already"):
+        store.revert_commit(merged)
+    store.revert([ops["update", "a"]])
+    assert texts() == {"a": "one", "b": "two"}
+    with pytest.raises(ValueError, match="branch"):
+        store.revert([ops["update", "b"], "nothing"])
+    store.invalidate(frame([("b",)], "fact_id string"))
+    assert texts() == {"a": "one"}
+    times = [r.recorded_at for r in store.table("commits").orderBy("seq").collect()]
+    assert all(x < y for x, y in zip(times, times[1:]))
+    # what doesn't hold changes nothing
+    version = store.snapshots.version
+    for bad in ([("a", "again", [])], [("x", " ", [])], [("x", "t", ["missing"])]):
+        with pytest.raises(ValueError):
+            add(*bad)
+    with pytest.raises(ValueError, match="confidence"):
+        store.remember(frame([("x", "t", float("nan"))], "id string, text string, confidence double"))
+    with pytest.raises(ValueError, match="symbol"):
+        store.remember(frame([("x", "t", [("s", "h"), ("s", "h")])], "id string, text string, anchors array<struct<symbol_id:string,content_hash:string>>"))
+    with pytest.raises(ValueError):
+        store.update(frame([("b", "gone")], "fact_id string, text string"))
+    for name in ("a b", "x..y", "/x", "x.lock", "", "a~"):
+        with pytest.raises(ValueError):
+            store.branch(name)
+    for wrong in (lambda: store.delete("main"), lambda: store.branch("feature"), lambda: store.rename("feature", "main")):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(KeyError):
+        store.switch("nowhere")
+    assert store.snapshots.version == version and texts() == {"a": "one"}
+    assert store.forget(frame([("a",)], "id string")) == ["a", "c"] and texts() == {}
+    assert texts(store.branches()["feature"]) == {"b": "two of feature"}
+    with pytest.raises(ValueError, match="forgotten"):
+        add(("c", "back", []))
+    with pytest.raises(ValueError, match="no such"):
+        store.forget(frame([("never",)], "id string"))
+    assert [n for n in store.snapshots.store.names() if n.startswith("v")] == [f"v{store.snapshots.version}"]
+    store.rename("feature", "other")
+    store.delete("other")
+    assert store.branches().keys() == {"main"} and FactStore(spark, str(tmp_path / "facts")).active == "main"
+
+
+def test_merge_conflicts_need_resolutions(spark, tmp_path):
+    from corvane.operators.branches import FactStore
+
+    store = FactStore(spark, str(tmp_path / "facts"))
+    store.remember(spark.createDataFrame([("a", "one")], "id string, text string"))
+    store.branch("feature")
+    for name in ("main", "feature"):
+        store.switch(name)
+        store.update(spark.createDataFrame([("a", f"of {name}")], "fact_id string, text string"))
+    store.switch("main")
+    with pytest.raises(ValueError, match="resolution"):
+        store.merge("feature")
+    store.merge("feature", spark.createDataFrame([("a", "theirs")], "fact_id string, choice string"))
+    assert [r.text for r in store.facts().collect()] == ["of feature"]
+
+
+def test_context_says_why_and_fits(spark):
+    """Against a plain rendering: the preamble, a line of reasons over each item, and what goes when these are too much."""
+    rows = [("C", None, "a.py", "C", "class", 1, 9, "class C", "Doc.", "class C:\n    pass"), ("m", "C", "a.py", "C.m", "method", 2, 3, "def m(self)", None, "def m(self):\n    return 1"), ("f", None, "b.py", "f", "function", 1, 4, "def f(x)", None, "def f(x):\n    return x * 100"), ("g", None, "b.py", "g", "function", 6, 9, "def g(x)", None, "def g(x):\n    return f(x)")]
+    symbols = spark.createDataFrame(rows, "id string, parent_id string, path string, qualname string, kind string, start_line int, end_line int, signature string, docstring string, body string")
+    scores = spark.createDataFrame([(q, i, s, r, w) for q in range(6) for i, s, r, w in (("m", 0.9, 1, "identifier match"), ("f", 0.5, 2, "code graph"), ("g", 0.1, 3, "semantic match"))], "query_id int, id string, score double, rank int, reasons string")
+    budgets = spark.createDataFrame([(0, 10_000, "Known facts.\n"), (1, 260, None), (2, 150, "x" * 200), (3, 0, "no room"), (4, 330, "Known facts.\n"), (5, 200, "")], "query_id int, budget long, preamble string")
+    got = {r.query_id: r for r in packing.context(symbols, scores, budgets).collect()}
+    assert len(got) == 6 and got[0].text.startswith("Known facts.\n# Why: ") and {i.id for i in got[0]["items"]} >= {"m", "f", "g"}
+    for q, r in got.items():
+        assert r.cost == len(r.text.encode()) <= r.budget
+        assert [i.id for i in r["items"]] == [i.id for i in sorted(r["items"], key=lambda i: [x for x in rows if x[0] == i.id][0][2:6:3] + (i.id,))]
+        assert r.text.count("# Why: ") == len(r["items"]) and all(f"# Why: {i.reason}\n" in r.text for i in r["items"])
+    assert "Known facts" in got[4].text and "xxx" not in got[2].text and got[3].text == "" and not got[3]["items"]
+    assert {"m", "f", "g"} <= set(got[0].covered)
+
+
+def test_token_counter(spark):
+    import os
+
+    folder = "/opt/tokenizers"
+    if not os.path.isdir(folder):
+        pytest.skip("no vocabulary here")
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    cost = packing.token_counter(f"{folder}/byte_bpe_50k.tiktoken", pattern)
+    got = [r[0] for r in spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "t string").select(cost(F.col("t"))).collect()]
+    assert got[0] == 2 and got[1:3] == [0, 0] and got[3] > 1
+
+
+def test_inverted_file_is_checked_when_loaded(spark, tmp_path):
+    dice = random.Random(3)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    df = spark.createDataFrame([(i, unit([dice.gauss(0, 1) for _ in range(6)])) for i in range(200)], "id long, v array<double>").persist()
+    ivf = vector.InvertedFile.fit(df)
+    index = ivf.index(df).persist()
+    ivf.save(index, str(tmp_path / "good"))
+    loaded, again = vector.InvertedFile.load(spark, str(tmp_path / "good"))
+    assert again.count() == 200 and loaded.probes == ivf.probes and (loaded.centroids == ivf.centroids).all()
+    for name, bad in (("twice", index.unionByName(index.limit(1))), ("list", index.withColumn("list", (F.col("list") + 1) % len(ivf.centroids))), ("length", index.withColumn("v", F.transform("v", lambda x: x * 2))), ("size", index.withColumn("v", F.slice("v", 1, 3)))):
+        with pytest.raises(ValueError):
+            ivf.validate(bad)
+
+
+def test_stream_of_file_events_keeps_an_index(spark, tmp_path):
+    """Micro-batches of events into a postings index, by a job that is begun again after it failed."""
+    contents = {"a.py": "red apple", "b.py": "green apple", "c.py": "blue sky"}
+    frame = lambda rows: spark.createDataFrame([(p, t) for p, t in rows.items()], "path string, body string")
+    index = lexical.PostingsIndex.build(frame({k: contents[k] for k in ("a.py", "b.py")}), "path", ["body"], str(tmp_path / "i"))
+    (tmp_path / "events").mkdir()
+    now = {"a.py": "red pear", "c.py": "blue sky", "d.py": "apple tree"}
+    lines = [("modified", "a.py", None), ("deleted", "b.py", None), ("created", "c.py", None), ("moved", "d.py", "old.py"), ("modified", ".git/objects/x", None)]
+    (tmp_path / "events/1.json").write_text("".join(json.dumps({"kind": k, "path": p, "old_path": o, "ts": f"2025-01-01T00:00:0{i}"}) + "\n" for i, (k, p, o) in enumerate(lines)))
+    failures = [1]
+
+    def apply(batch, _):
+        events = watch.relevant(batch)
+        assert {r.path: r.action for r in watch.job_rows(events).collect()} == {"a.py": "parse", "b.py": "remove", "c.py": "parse", "d.py": "parse", "old.py": "remove"}
+        watch.apply_to_indexes(events.select("path", "kind"), frame(now), index)
+        if failures:
+            failures.pop()
+            raise RuntimeError("once")
+
+    job = watch.IndexJob(lambda: watch.maintain(watch.read_events(spark, str(tmp_path / "events")), apply, str(tmp_path / "state")))
+    job.cancel()
+    job.wait()
+    job.cancel()
+    ask = spark.createDataFrame([(1, "apple sky red")], "q int, t string")
+    rows = lambda df: sorted((r.id, round(r.score, 9), r.rank) for r in df.collect())
+    assert not failures and rows(index.search(ask, "q", "t", 5)) == rows(lexical.search(frame(now), ask, "path", ["body"], "q", "t", 5))
+
+
+def test_refresh_is_timed_and_equal_to_a_fresh_scan():
+    state = {"x": 0}
+    found = watch.refresh_seconds([lambda: state.update(x=state["x"] + 1)] * 5, lambda: state["x"], lambda: state["x"])
+    assert found["n"] == 5 and 0 <= found["p50"] <= found["p95"]
+    with pytest.raises(AssertionError):
+        watch.refresh_seconds([lambda: None], lambda: 1, lambda: 2)
+
+
+def test_questions_are_the_published_ones(spark, tmp_path):
+    path = tmp_path / "q.json"
+    path.write_text(json.dumps([{"question_id": "a", "question": "x"}, {"question_id": "b_abs", "question": "y"}]))
+    data = path.read_bytes()
+    digest = hashlib.sha256(data).hexdigest()
+    assert E.load_questions(spark, str(path), len(data), digest, 2).count() == 2
+    for size, found, rows in ((len(data) + 1, digest, 2), (len(data), "0" * 64, 2), (len(data), digest, 3)):
+        with pytest.raises(ValueError):
+            E.load_questions(spark, str(path), size, found, rows)
+    questions = spark.createDataFrame([("a", "t", "The Blue"), ("b_abs", "t", "")], "question_id string, question_type string, answer string")
+    said = spark.createDataFrame([("a", "It was blue, the end"), ("b_abs", "That is not mentioned.")], "question_id string, hypothesis string")
+    assert {r.group_name: (r.n, r.accuracy) for r in E.answer_accuracy(questions, said).collect()} == {"all": (2, 1.0), "t": (2, 1.0), "abstention": (1, 1.0)}
+    with pytest.raises(ValueError):
+        E.answer_accuracy(questions, said.withColumn("question_id", F.lit("zz")))
+
+
+def test_chain_breaks_across_blocks(spark):
+    rows = [(i, i, i - 1 if i not in (4096, 5000) else 7) for i in range(1, 9000)]
+    got = E.chain_breaks(spark.createDataFrame(rows, "pos long, id long, parent long")).collect()
+    assert sorted(r.pos for r in got) == [4096, 5000]
+
+
+def test_tree_refresh(spark):
+    """Random edits, deletions, new and emptied directories: the refreshed tree is that of a fresh one."""
+    dice, now = random.Random(4), {}
+    frame = lambda d: spark.createDataFrame([(p, hashlib.sha256(x.encode()).hexdigest()) for p, x in d.items()], "path string, digest string")
+    for i in range(30):
+        now["/".join(dice.choice("abc") for _ in range(dice.randrange(0, 4))) + ("/" if i % 5 else "") + f"f{i}"] = str(i)
+    now = {p.lstrip("/"): x for p, x in now.items()}
+    for _ in range(2):
+        later = {p: (x + "!" if dice.random() < 0.2 else x) for p, x in now.items() if dice.random() > 0.3} | {f"new{dice.randrange(9)}/deep/f": "n"}
+        rows = lambda df: sorted((r.path, r.digest, r.depth) for r in df.collect())
+        before, after = frame(now), frame(later)
+        assert rows(snapshot.refresh_tree(snapshot.tree_hashes(before), after, snapshot.changed_paths(before, after))) == rows(snapshot.tree_hashes(after))
+        now = later
