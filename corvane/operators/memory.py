@@ -197,12 +197,18 @@ def revalidate(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def contradictions(facts: DataFrame) -> DataFrame:
-    """(fact_id, other_id): facts of one subject with different texts. The subject's distinct texts are compared before facts are."""
+    """(fact_id, other_id): facts of one subject with different texts. As many rows as there are such pairs; `contested` says which subjects have any, one row each."""
     named = facts.filter("subject is not null and subject <> ''").select("fact_id", "subject", "text")
     other = named.select(F.col("fact_id").alias("other_id"), "subject", F.col("text").alias("_text"))
     return named.join(other, "subject").filter("text <> _text").select("fact_id", "other_id")
 
 
+def contested(facts: DataFrame) -> DataFrame:
+    """(subject, texts, facts): subjects about which facts differ, with the numbers of texts and facts."""
+    named = facts.filter("subject is not null and subject <> ''")
+    return named.groupBy("subject", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("subject").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("facts")).filter("texts > 1")
+
+
 def preferred(facts: DataFrame, priority: dict[str, int] = SOURCE_PRIORITY) -> DataFrame:
     """(subject, fact_id): the belief that wins: by source, then what is valid later, recorded later, stored later, more certain, greater id."""
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in priority.items() for x in kv)), F.coalesce("source", F.lit(""))), F.lit(0))

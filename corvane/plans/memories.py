@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from corvane.operators import branches as B
 from corvane.operators import memory as M
 from corvane.plans.registry import query, table
+from corvane.plans.retrieval import bm25f_sql
 
 LOG_SQL = """log AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, user_id::VARCHAR AS fact_id, ts AS recorded_at,
   CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'invalidate' ELSE 'update' END AS kind, event_type || ':' || event_id AS payload FROM events)"""
@@ -201,6 +202,12 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.contradictions(s)
 
 
+@query("SELECT s_nationkey::VARCHAR AS subject, count(DISTINCT s_suppkey % 3) AS texts, count(*) AS facts FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey % 3) > 1")
+def contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fact_id"), F.col("s_nationkey").cast("string").alias("subject"), (F.col("s_suppkey") % 3).cast("string").alias("text"))
+    return M.contested(s)
+
+
 @query("SELECT c_nationkey AS subject, c_custkey AS fact_id FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 2 WHEN 'FURNITURE' THEN 1 ELSE 0 END DESC, c_custkey % 7 DESC, c_custkey % 5 DESC, c_custkey DESC) = 1")
 def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
@@ -245,10 +252,14 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.summaries(facts, "p_brand").select("p_brand", "text", "confidence", F.size("derived_from").cast("long").alias("n"))
 
 
-@query()
+RECALL_CORPUS = "corpus AS (SELECT doc_id AS id, source AS path, source AS signature, lang AS docstring, text AS body FROM documents)"
+ASKED = "SELECT * FROM (VALUES (1, 'worthless idiot'), (2, 'license of src3')) v(query_id, text)"
+
+
+@query(f"WITH {bm25f_sql(ASKED, k=1_000_000_000, corpus=RECALL_CORPUS)}, f AS (SELECT query_id, id AS fact_id, ['fresh', 'stale', 'orphaned'][1 + id % 3] AS freshness, score, id % 3 AS o FROM ranked) SELECT query_id, fact_id, freshness, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY o, round(score, 9) DESC, fact_id) AS place FROM f")
 def recall_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that match each of two questions, fresh ones first."""
     docs = table(spark, sf_dir, "documents")
     facts = docs.select(F.col("doc_id").alias("fact_id"), F.col("source").alias("anchors_text"), F.col("lang").alias("subject"), "text", F.element_at(F.array(*map(F.lit, ("fresh", "stale", "orphaned"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("freshness"), F.lit(1.0).alias("confidence"))
     asked = spark.sql("SELECT * FROM VALUES (1, 'worthless idiot'), (2, 'license of src3') AS t(query_id, query)")
-    return M.rank_recall(facts, asked).select("query_id", "fact_id", "freshness", F.round("score", 6).alias("score"), "place")
+    return M.rank_recall(facts, asked).select("query_id", "fact_id", "freshness", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))

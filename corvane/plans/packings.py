@@ -26,6 +26,20 @@ def knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.choose(*options(spark, sf_dir))
 
 
+def _best_sql(groups: int = 50, budget: int = 200) -> str:
+    """The greatest value by group after group, for each budget that can be used up: as many CTEs as there are sizes of parts."""
+    out = "o AS (SELECT p_brand AS q, p_size AS g, p_partkey % 40 + 1 AS cost, p_retailprice AS value FROM part UNION ALL SELECT DISTINCT p_brand, s.g, 0, 0.0 FROM part, (SELECT unnest(range(1, " + str(groups + 1) + ")) AS g) s), d0 AS (SELECT DISTINCT p_brand AS q, 0 AS used, 0.0::DOUBLE AS value FROM part)"
+    for i in range(1, groups + 1):
+        out += f", d{i} AS (SELECT d.q, used + cost AS used, max(d.value + o.value) AS value FROM d{i - 1} d JOIN o ON o.q = d.q AND o.g = {i} WHERE used + cost <= {budget} GROUP BY d.q, used + cost)"
+    return f"WITH {out} SELECT q AS query_id, round(max(value), 4) AS value FROM d{groups} GROUP BY 1"
+
+
+@query(_best_sql())
+def knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chosen parts of each brand are worth in all: no other choice within the budget is worth more."""
+    return packing.choose(*options(spark, sf_dir)).groupBy("query_id").agg(F.round(F.sum("value"), 4).alias("value"))
+
+
 @query()
 def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.choose(*options(spark, sf_dir), method="greedy")

@@ -429,7 +429,23 @@ def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(after, "doc_id").filter("source = s").select(F.col("doc_id").alias("source"), "target", F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"))
 
 
-@query()
+def _full_sql(rounds: int) -> str:
+    out = f"""{HYBRID_SQL},
+links AS (SELECT d.doc_id AS a, e.doc_id AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 AND e.source = d.source),
+graph AS (SELECT src, dst, sum(w) AS w FROM (SELECT a AS src, b AS dst, 1.0::DOUBLE AS w FROM links UNION ALL SELECT b, a, 0.5 FROM links) GROUP BY ALL),
+steps AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM graph),
+r AS (SELECT query_id, id, score / sum(score) OVER (PARTITION BY query_id) AS r FROM fused), p0 AS (SELECT query_id, id, r AS score FROM r)"""
+    for i in range(rounds):
+        out += f""", d{i} AS (SELECT query_id, sum(score) AS d FROM p{i} WHERE id NOT IN (SELECT src FROM steps) GROUP BY query_id),
+p{i + 1} AS (SELECT query_id, id, sum(score) AS score FROM (SELECT r.query_id, r.id, (0.15 + 0.85 * coalesce(d, 0)) * r AS score FROM r LEFT JOIN d{i} USING (query_id) UNION ALL SELECT query_id, dst, 0.85 * score * p FROM p{i} JOIN steps ON src = id) GROUP BY query_id, id)"""
+    return out + f""", scored AS (SELECT query_id, id, coalesce(r.r, 0) + coalesce(g.score, 0) AS score, coalesce(g.score, 0) AS graph_score FROM p{rounds} g FULL JOIN r USING (query_id, id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored QUALIFY rank <= 10)
+SELECT b.query_id, b.id, round(b.score, 6) AS score, b.rank, l.id IS NOT NULL AS lexical, v.id IS NOT NULL AS vector, round(graph_score, 6) AS graph_score,
+  concat_ws(', ', CASE WHEN l.id IS NOT NULL THEN 'identifier match' END, CASE WHEN v.id IS NOT NULL THEN 'semantic match' END, CASE WHEN graph_score > 0 THEN 'code graph' END) AS reasons
+FROM best b LEFT JOIN ranked l ON l.query_id = b.query_id AND l.id = b.id LEFT JOIN second v ON v.query_id = b.query_id AND v.id = b.id"""
+
+
+@query(f"WITH {_full_sql(4)}")
 def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused candidates, their graph scores and the reasons, ten best for each of the items."""
     docs = corpus(spark, sf_dir)
@@ -439,9 +455,9 @@ def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = lex.select("query_id", F.lit("lexical").alias("list"), "id", "rank", F.lit(1.0).alias("weight")).unionByName(vec.select("query_id", F.lit("vector").alias("list"), "id", "rank", F.lit(1.0).alias("weight")))
     fused = fusion.reciprocal_rank_fusion(lists, by=["query_id"])
     g = graph.adjacency(n, graph.with_reverse(document_edges(spark, sf_dir)))
-    spread = graph.personalized_pagerank(n, g, fused, exact_rounds=10)
+    spread = graph.personalized_pagerank(n, g, fused, exact_rounds=4)
     best = fusion.top(fusion.combine(n, fused, spread), 10)
-    return fusion.explain(best, lex, vec, spread).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "lexical", "vector", F.round("graph_score", 6).alias("graph_score"), "reasons")
+    return fusion.explain(best, lex, vec, spread).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "lexical", "vector", F.round("graph_score", 6).alias("graph_score"), "reasons")
 
 
 MAP_SQL = f"""{EDGES_SQL}, named AS (SELECT 'r' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, c_name FROM customer),
