@@ -235,8 +235,25 @@ class Classifier:
         return (self.families[best] if known else UNKNOWN), float(p[best])
 
     def anchors(self) -> list[str]:
-        """A word of each feature that raises a family against unknown: without any of them no family can win."""
-        return sorted({next(filter(speaks, f.split(" "))) for f, row in self.weights.items() if max(row[:-1]) > row[-1]})
+        """Words of which a paragraph must hold one for any family to win against unknown.
+
+        Each feature that speaks for a family is met by its first word that says something. Words whose features speak too faintly, all of them
+        together, to outweigh what the biases hold against each family are left out: they are mostly common words.
+        """
+        gaps: dict[str, np.ndarray] = {}
+        for f, row in self.weights.items():
+            gain = np.maximum(np.array(row[:-1]) - row[-1], 0)
+            if gain.any():
+                word = next(filter(speaks, f.split(" ")))
+                gaps[word] = gaps.get(word, 0) + gain
+        spare = np.array([self.bias[-1] - b for b in self.bias[:-1]])
+        kept = []
+        for word in sorted(gaps, key=lambda w: (gaps[w].max(), w)):
+            if (spare - gaps[word] > 1e-9).all():
+                spare = spare - gaps[word]
+            else:
+                kept.append(word)
+        return sorted(kept)
 
 
 def examples(held: bool) -> list[tuple[list[str], int]]:
@@ -297,7 +314,8 @@ def triples_of(tokens: list[str]) -> list[str]:
 
 
 #: A line break between two lines of at most WRAP characters, neither empty: the lines are one paragraph.
-_WRAPPED = rf"(?<=(?:^|\n)[^\n]{{1,{WRAP}}})\n(?=[^\n]{{1,{WRAP}}}(?:\n|\z))"
+#: The break comes first, so that what is before it is looked at there only.
+_WRAPPED = rf"\n(?<=(?:^|\n)[^\n]{{1,{WRAP}}}\n)(?=[^\n]{{1,{WRAP}}}(?:\n|\z))"
 
 
 def paragraphs_of(text: str) -> list[list[str]]:
