@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm import compression, fingerprints, licenses, mixing, packing, pii, simhash, toolcalls, toxicity, urls
 from corvane.llm.sql import ORACLES
+from corvane.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
