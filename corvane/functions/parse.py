@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import itertools
 import re
 from bisect import bisect_right
 
@@ -222,27 +223,20 @@ def changed_lines(patch: str) -> list[tuple[str, int]]:
 
 
 def varbyte_encode(ids: list[int]) -> bytes:
-    """Ascending ids as differences in groups of seven bits; the last group of each has the high bit."""
-    out, last = bytearray(), 0
-    for id in ids:
-        if id < last:
-            raise ValueError("ids must ascend")
-        n, last = id - last, id
-        groups = [n & 127]
-        while n := n >> 7:
-            groups.append(n & 127)
-        out += bytes([*groups[:0:-1], groups[0] | 128])
+    """Ascending ids as differences in groups of seven bits, low groups first; the last group of each has the high bit."""
+    if any(b < a for a, b in zip([0, *ids], ids)):
+        raise ValueError("ids must ascend from 0")
+    out = bytearray()
+    for n in (b - a for a, b in zip([0, *ids], ids)):
+        groups = [n >> shift & 127 for shift in range(0, max(1, n.bit_length()), 7)]
+        groups[-1] |= 128
+        out += bytes(groups)
     return bytes(out)
 
 
 def varbyte_decode(data: bytes) -> list[int]:
-    out, n, last, open_ = [], 0, 0, False
-    for b in data:
-        n, open_ = n << 7 | b & 127, True
-        if b & 128:
-            last += n
-            out.append(last)
-            n, open_ = 0, False
-    if open_:
+    if data and data[-1] < 128:
         raise ValueError("truncated")
-    return out
+    ends = [i + 1 for i, b in enumerate(data) if b & 128]
+    steps = (sum((b & 127) << 7 * i for i, b in enumerate(data[start:end])) for start, end in zip([0, *ends], ends))
+    return list(itertools.accumulate(steps))

@@ -29,8 +29,8 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Case folding for Latin scripts: lower case, with sharp s written out."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case folding: lower case, with sharp s written out, and final sigma and long s as the letters they are."""
+    return F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def _folded(tokens: Column) -> Column:
@@ -55,12 +55,16 @@ def code_tokens(text: Column, language: str = "python") -> Column:
     return F.concat(F.filter(found, lambda t: ~t.isin(*stop)) if stop else found, _all(text, OPERATORS))
 
 
+def plain_query(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
+
+
 def normalize_query(text: Column | str) -> Column:
     """NFKC, single blanks, case folding; Spark has no normal forms of its own, so this is a pandas UDF."""
 
     @F.pandas_udf("string")
     def fold_all(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+        return texts.map(lambda t: None if t is None else plain_query(t))
 
     return fold_all(text)
 
@@ -106,3 +110,10 @@ def line_of_offset(text: Column, offset: Column) -> Column:
     """0-based row of a character offset."""
     head = F.substring(text, F.lit(1), offset)
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+
+
+def point_of_byte(content: Column, offset: Column) -> Column:
+    """0-based (row, column) of a byte offset in a binary, the column in bytes. Each byte is looked at as one Latin-1 letter."""
+    head = F.decode(F.substring(content, F.lit(1), offset), "ISO-8859-1")
+    row = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+    return F.struct(row.cast("int").alias("row"), F.length(F.substring_index(head, "\n", -1)).alias("column"))

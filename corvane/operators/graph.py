@@ -134,6 +134,22 @@ def neighbourhood(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target", "kind", "confidence").union(edges.join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "kind", "confidence")).distinct()
 
 
+def ends(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbols at either end of some edges."""
+    return symbols.join(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct(), "id", "left_semi")
+
+
+def checked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored graph, if it holds: ids once, ends among them, confidence within 0 and 1."""
+    if not nodes.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+        raise ValueError("an id is there twice, or null")
+    if not edges.filter("not coalesce(confidence between 0 and 1, false) or isnan(confidence)").isEmpty():
+        raise ValueError("confidence outside 0 and 1")
+    if not edges.select(F.explode(F.array("source", "target")).alias("id")).join(nodes.select("id"), "id", "left_anti").isEmpty():
+        raise ValueError("an edge has an end that is no node")
+    return nodes, edges
+
+
 def repo_map(symbols: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 50, exact_rounds: int | None = None, language: str = "python") -> DataFrame:
     """(query_id, id, score, rank) of the baseline that knows names only: symbols (id, qualname) are seeded by the tokens they share with a query
     (query_id, text), and the seeds spread over the edges between symbols. A query that shares none begins everywhere."""

@@ -149,3 +149,14 @@ def refresh_tree(tree: DataFrame, leaves: DataFrame, changed: DataFrame) -> Data
         made = made.unionByName(level)
         children = children.unionByName(level.filter("path <> ''").withColumn("kind", F.lit("64")))
     return made.select("path", "digest", depth.alias("depth"))
+
+
+def checked_tree(tree: DataFrame) -> DataFrame:
+    """A stored tree (path, digest, depth), if it holds: one root, paths once, digests of 64 digits, every directory below another."""
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    bad = ~F.rlike("digest", F.lit("^[0-9a-f]{64}$")) | (F.col("depth") != depth)
+    if not tree.filter(F.coalesce(bad, F.lit(True))).isEmpty() or not tree.groupBy("path").count().filter("count > 1").isEmpty():
+        raise ValueError("a directory isn't valid")
+    if not tree.isEmpty() and not tree.filter("path <> ''").select(parent_of(F.col("path")).alias("path")).union(tree.sparkSession.sql("SELECT ''")).distinct().join(tree, "path", "left_anti").isEmpty():
+        raise ValueError("a directory has none above it")
+    return tree

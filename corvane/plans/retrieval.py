@@ -510,3 +510,32 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = files.Snapshots(spark, f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}")
     store.publish({"symbols": nodes(e), "edges": e}, 0)
     return spark.createDataFrame(list(store.status().items()), "what string, n long")
+
+
+@query(f"WITH {EDGES_SQL}, t AS (SELECT DISTINCT source, target FROM edges WHERE source IN ('n3', 'n7') OR target IN ('n3', 'n7')) SELECT source AS id FROM t UNION SELECT target FROM t")
+def neighbour_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return graph.ends(graph.neighbourhood(spark.sql(SEED_NODES), e), nodes(e))
+
+
+@query(
+    f"""WITH {RANKINGS_SQL}, total AS (SELECT query_id, sum(score) AS t FROM fused GROUP BY 1), w AS (SELECT unnest([0.0, 0.02, 0.5])::DOUBLE AS weight),
+g AS (SELECT p_brand AS query_id, p_partkey AS id, p_size / 50.0 AS graph FROM part), s AS (SELECT query_id, id, coalesce(score / t, 0) AS share, coalesce(graph, 0) AS graph FROM (SELECT f.*, t FROM fused f JOIN total USING (query_id)) FULL JOIN g USING (query_id, id)),
+best AS (SELECT weight, query_id, id FROM s, w QUALIFY row_number() OVER (PARTITION BY weight, query_id ORDER BY round(share + weight * graph, 9) DESC, id) <= 10),
+gold AS (SELECT p_brand AS query_id, p_partkey AS id FROM part WHERE p_partkey % 9 = 0), n AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), h AS (SELECT weight, query_id, count(*) AS h FROM best JOIN gold USING (query_id, id) GROUP BY ALL)
+SELECT weight, round(avg(coalesce(h, 0) / n), 6) AS recall FROM n CROSS JOIN w LEFT JOIN h USING (weight, query_id) GROUP BY 1"""
+)
+def graph_weight_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as queries, the size of a part as its graph score."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("score"))
+    fused = fusion.reciprocal_rank_fusion(rankings(spark, sf_dir), by=["query_id"])
+    found = fusion.tune_graph_weight(fused, part, part.filter("id % 9 = 0").select("query_id", "id"), [0.0, 0.02, 0.5])
+    return found.withColumn("recall", F.round("recall", 6))
+
+
+@query(r"SELECT page_id, (length(head) - length(replace(head, chr(10), '')))::INT AS row, octet_length(encode(split_part(head, chr(10), -1)))::INT AS column FROM (SELECT page_id, substr(html, 1, strpos(html, '<h1>') - 1) AS head FROM pages WHERE contains(html, '<h1>'))")
+def byte_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row and byte column of each page's heading, from its byte offset."""
+    pages = table(spark, sf_dir, "pages").filter(F.contains("html", F.lit("<h1>")))
+    offset = F.octet_length(F.substring_index("html", "<h1>", 1))
+    return pages.select("page_id", T.point_of_byte(F.col("html").cast("binary"), offset).alias("p")).select("page_id", "p.row", "p.column")
