@@ -13,7 +13,7 @@ import subprocess
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import memory as M
@@ -22,7 +22,8 @@ from corvane.sources.files import Snapshots
 
 FACT = "id string, text string, user string, session string, tool string, source string, subject string, confidence double, anchors array<struct<symbol_id:string,content_hash:string>>, derived_from array<string>, valid_from timestamp, valid_to timestamp, created_at timestamp, recorded_at timestamp, freshness string"
 TABLES = {
-    "commits": "commit_id string, seq long, parents array<string>, recorded_at timestamp",
+    "commits": "commit_id string, seq long, parents array<string>, recorded_at timestamp, line string, pos long",
+    "lines": "line string, up_line string, up_pos long",
     "operations": "op_id string, commit_id string, seq long, kind string, fact_id string, payload string, recorded_at timestamp, reverts string",
     "branches": "name string, head string, active boolean",
     "tombstones": "fact_id string",
@@ -53,6 +54,14 @@ def states(commits: DataFrame, operations: DataFrame, heads: DataFrame) -> DataF
     return last.select("root", "fact_id", "last.payload", "last.seq").filter("payload is not null")
 
 
+def before_on(operations: DataFrame, targets: DataFrame) -> DataFrame:
+    """As `before`, for targets that are all among operations of one line."""
+    wanted = operations.join(targets.select("op_id").distinct(), "op_id", "left_semi").select("op_id", "fact_id", F.col("seq").alias("_at"))
+    met = wanted.join(operations.select("fact_id", "payload", "seq"), "fact_id").filter("seq < _at")
+    last = met.groupBy("op_id").agg(F.max_by(F.struct("payload"), "seq").alias("last"))
+    return wanted.join(last, "op_id", "left").select("op_id", "fact_id", F.col("last.payload").alias("payload"))
+
+
 def before(commits: DataFrame, operations: DataFrame, targets: DataFrame) -> DataFrame:
     """(op_id, fact_id, payload): what the fact of each target (op_id) was before it along first parents; null: nothing. This is what a revert puts back."""
     wanted = operations.join(targets.select("op_id").distinct(), "op_id", "left_semi").select("op_id", "commit_id", "fact_id", F.col("seq").alias("_at"))
@@ -68,9 +77,19 @@ def _refuse(rows: DataFrame, reason: str) -> None:
         raise ValueError(reason)
 
 
+def _refuse_any(rows: DataFrame, *rules: tuple[Column, str]) -> None:
+    """The first rule that any row breaks, found in one pass."""
+    found = rows.agg(*(F.count_if(F.coalesce(bad, F.lit(False))).alias(f"n{i}") for i, (bad, _) in enumerate(rules))).first()
+    for n, (_, reason) in zip(found, rules):
+        if n:
+            raise ValueError(reason)
+
+
 class FactStore:
     """A fact log in a folder: every write makes a commit on the active branch and one new version of the tables, or nothing.
 
+    Commits that follow one another are a line, and each has its place on it; a line says where it left another, so the commits behind a head
+    are a few ranges of places, found without following parents.
     Versions are published by `Snapshots`, whose manifest is swapped at once: a write that fails, or comes second, leaves what was there.
     """
 
@@ -84,8 +103,7 @@ class FactStore:
         return self.snapshots.load(name)
 
     def _publish(self, changed: dict[str, DataFrame]) -> None:
-        version = self.snapshots.version
-        self.snapshots.publish({t: changed.get(t, self.snapshots.load(t, version)) for t in TABLES}, version)
+        self.snapshots.publish(changed, self.snapshots.version, keep=True)
 
     # branches
     def branches(self) -> dict[str, str | None]:
@@ -150,11 +168,29 @@ class FactStore:
         return name
 
     # states
+    def _place(self, head: str) -> tuple[str, int]:
+        found = self.table("commits").filter(F.col("commit_id") == head).select("line", "pos").first()
+        if found is None:
+            raise KeyError(head)
+        return found.line, found.pos
+
+    def behind(self, head: str | None) -> DataFrame:
+        """(commit_id): a commit and those before it along first parents."""
+        ranges, up = [], {r.line: (r.up_line, r.up_pos) for r in self.table("lines").collect()} if head else {}
+        at = self._place(head) if head else (None, None)
+        while at[0] is not None:
+            ranges.append(at)
+            at = up[at[0]]
+        limits = F.broadcast(self.spark.createDataFrame(ranges, "line string, last long"))  # a row a line
+        return self.table("commits").join(limits, "line").filter("pos <= last").select("commit_id")
+
+    def _operations(self, head: str | None) -> DataFrame:
+        return self.table("operations").join(self.behind(head), "commit_id", "left_semi")
+
     def state(self, head: str | None = None) -> DataFrame:
         """(fact_id, payload, seq) at a commit; without one at the head of the active branch."""
-        at = head or self.head
-        heads = self.spark.createDataFrame([("", at)] if at else [], "root string, id string")
-        return states(self.table("commits"), self.table("operations"), heads).join(self.table("tombstones"), "fact_id", "left_anti").select("fact_id", "payload", "seq")
+        last = self._operations(head or self.head).groupBy("fact_id").agg(F.max_by(F.struct("payload", "seq"), "seq").alias("last"))
+        return last.select("fact_id", "last.payload", "last.seq").filter("payload is not null").join(self.table("tombstones"), "fact_id", "left_anti")
 
     def facts(self, head: str | None = None) -> DataFrame:
         """The facts as columns."""
@@ -167,14 +203,19 @@ class FactStore:
         seq, name = (last[0] or 0) + 1, uuid.uuid4().hex
         now = F.greatest(F.current_timestamp(), F.lit(last[1]) + F.expr("INTERVAL 1 MICROSECOND")) if last[1] else F.current_timestamp()
         stamped = cut(self.spark.range(1).select(now.alias("t"))).first().t
-        made = self.spark.createDataFrame([(name, seq, [x for x in (head, second) if x], stamped)], TABLES["commits"])
+        line, pos = self._place(head) if head else (None, -1)
+        lines = {}
+        if line is None or not commits.filter((F.col("line") == line) & (F.col("pos") > pos)).isEmpty():
+            lines = {"lines": self.table("lines").unionByName(self.spark.createDataFrame([(name, line, pos if line else None)], TABLES["lines"]))}
+            line, pos = name, -1
+        made = self.spark.createDataFrame([(name, seq, [x for x in (head, second) if x], stamped, line, pos + 1)], TABLES["commits"])
         ops = cut(changes).select("kind", "fact_id", "payload", "reverts")
         if ops.groupBy("fact_id").count().filter("count > 1").count():
             raise ValueError("a fact changes twice in one write")
         op_id = F.sha2(F.concat_ws("\0", F.lit(name), "kind", "fact_id", F.coalesce("payload", F.lit(""))), 256)
         rows = ops.select(op_id.alias("op_id"), F.lit(name).alias("commit_id"), F.lit(seq).cast("long").alias("seq"), "kind", "fact_id", "payload", F.lit(stamped).alias("recorded_at"), "reverts")
         branches = self.spark.createDataFrame([(n, name if a else h, a) for n, h, a in self._rows()], TABLES["branches"])
-        self._publish({"commits": commits.unionByName(made), "operations": self.table("operations").unionByName(rows), "branches": branches} | (extra or {}))
+        self._publish({"commits": commits.unionByName(made), "operations": self.table("operations").unionByName(rows), "branches": branches} | lines | (extra or {}))
         return name
 
     # writes
@@ -186,29 +227,33 @@ class FactStore:
         rows = facts.select(*((F.col(n) if n in given else default.get(n, F.lit(None))).cast(t).alias(n) for n, t in schema))
         rows = cut(rows.withColumns({"recorded_at": F.current_timestamp(), "created_at": F.current_timestamp(), "valid_from": F.coalesce("valid_from", F.current_timestamp()), "derived_from": F.array_distinct(F.coalesce("derived_from", F.array().cast("array<string>")))}))
         blank = lambda c: F.col(c).isNotNull() & (F.btrim(c) == "")
-        _refuse(rows.filter(F.col("text").isNull() | blank("text")), "a fact needs a text")
-        _refuse(rows.filter(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))), "confidence is within 0 and 1")
-        _refuse(rows.filter(blank("user") | blank("session") | blank("tool") | blank("source") | blank("subject")), "no blank metadata")
-        _refuse(rows.filter("valid_to is not null and valid_to <= valid_from"), "an interval ends after it begins")
         anchors = F.transform("anchors", lambda a: a["symbol_id"])
-        _refuse(rows.filter(F.exists("anchors", lambda a: (F.coalesce(a["symbol_id"], F.lit("")) == "") | (F.coalesce(a["content_hash"], F.lit("")) == "")) | (F.size(F.array_distinct(anchors)) < F.size(anchors))), "anchors have a symbol each, and its hash")
-        ids, known = rows.select(F.col("id").alias("fact_id")), self.state().select("fact_id")
-        _refuse(ids.join(self.table("tombstones"), "fact_id", "left_semi"), "what was forgotten isn't remembered again")
-        _refuse(ids.join(known, "fact_id", "left_semi"), "the fact is there already")
+        empty = F.exists("anchors", lambda a: (F.coalesce(a["symbol_id"], F.lit("")) == "") | (F.coalesce(a["content_hash"], F.lit("")) == ""))
+        _refuse_any(
+            rows,
+            (F.col("text").isNull() | blank("text"), "a fact needs a text"),
+            (~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence is within 0 and 1"),
+            (blank("user") | blank("session") | blank("tool") | blank("source") | blank("subject"), "no blank metadata"),
+            (F.expr("valid_to is not null and valid_to <= valid_from"), "an interval ends after it begins"),
+            (F.coalesce(empty, F.lit(False)) | (F.size(F.array_distinct(anchors)) < F.size(anchors)), "anchors have a symbol each, and its hash"),
+        )
+        known = cut(self.state().select("fact_id"))
+        flag = lambda df, name: df.select("fact_id").distinct().withColumn(name, F.lit(True))
+        ids = rows.select(F.col("id").alias("fact_id")).join(flag(self.table("tombstones"), "gone"), "fact_id", "left").join(flag(known, "there"), "fact_id", "left")
+        _refuse_any(ids, (F.col("gone"), "what was forgotten isn't remembered again"), (F.col("there"), "the fact is there already"))
         sources = rows.select(F.explode("derived_from").alias("source_id"), F.col("id").alias("derived_id")).distinct()
-        _refuse(sources.join(known.withColumnRenamed("fact_id", "source_id"), "source_id", "left_anti"), "facts derive from facts of the branch")
         derivations = self.table("derivations")
         if not sources.isEmpty():
+            _refuse(sources.join(known.withColumnRenamed("fact_id", "source_id"), "source_id", "left_anti"), "facts derive from facts of the branch")
             _refuse(M.would_cycle(derivations.unionByName(sources), sources), "derivations go round in a circle")
-        return self._commit(rows.select(F.lit("add").alias("kind"), F.col("id").alias("fact_id"), F.to_json(F.struct(*(n for n, _ in schema))).alias("payload"), F.lit(None).cast("string").alias("reverts")), {"derivations": derivations.unionByName(sources).distinct()})
+        return self._commit(rows.select(F.lit("add").alias("kind"), F.col("id").alias("fact_id"), F.to_json(F.struct(*(n for n, _ in schema))).alias("payload"), F.lit(None).cast("string").alias("reverts")), None if sources.isEmpty() else {"derivations": derivations.unionByName(sources).distinct()})
 
     def update(self, changes: DataFrame) -> str:
         """New texts or intervals (fact_id, text, valid_from, valid_to; null: as it was)."""
         named = changes.select("fact_id", *(F.col(c).cast(t).alias(f"new_{c}") if c in changes.columns else F.lit(None).cast(t).alias(f"new_{c}") for c, t in (("text", "string"), ("valid_from", "timestamp"), ("valid_to", "timestamp"))))
-        state = self.state()
-        _refuse(named.join(state, "fact_id", "left_anti"), "no such fact")
-        _refuse(named.filter(F.btrim("new_text") == ""), "a fact needs a text")
-        rows = named.join(state, "fact_id").withColumn("f", F.from_json("payload", FACT))
+        rows = cut(named.join(self.state(), "fact_id", "left"))
+        _refuse_any(rows, (F.col("payload").isNull(), "no such fact"), (F.btrim("new_text") == "", "a fact needs a text"))
+        rows = rows.withColumn("f", F.from_json("payload", FACT))
         new = F.col("f")
         for c in ("text", "valid_from", "valid_to"):
             new = new.withField(c, F.coalesce(f"new_{c}", f"f.{c}"))
@@ -224,14 +269,22 @@ class FactStore:
     def revert(self, op_ids: list[str]) -> str:
         """Puts back what the facts of some operations of the branch were before them; an operation is reverted once, and what was forgotten never."""
         targets = self.spark.createDataFrame([(i,) for i in op_ids], "op_id string").distinct()
-        line = line_of(self.table("commits"), self.spark.createDataFrame([("", self.head)] if self.head else [], "root string, id string"))
-        mine = cut(self.table("operations").join(line.select(F.col("id").alias("commit_id")), "commit_id", "left_semi"))
-        _refuse(targets.join(mine, "op_id", "left_anti"), "the operation isn't on the branch")
-        _refuse(targets.join(mine.select(F.col("reverts").alias("op_id")), "op_id", "left_semi"), "the operation is reverted already")
-        found = mine.join(targets, "op_id", "left_semi")
-        _refuse(found.filter("kind = 'revert'"), "a revert isn't reverted")
-        _refuse(found.join(self.table("tombstones"), "fact_id", "left_semi"), "what was forgotten isn't restored")
-        back = before(self.table("commits"), self.table("operations"), targets)
+        mine = cut(self._operations(self.head))
+        on_line = targets.join(mine, "op_id", "left_anti").isEmpty()
+        if not on_line:  # of a branch that was merged, perhaps
+            commits = self.table("commits").withColumnRenamed("commit_id", "op_id")
+            reach = M.ancestry(commits, self.spark.createDataFrame([("", self.head)] if self.head else [], "root string, id string"))
+            mine = cut(self.table("operations").join(reach.select(F.col("id").alias("commit_id")), "commit_id", "left_semi"))
+        flag = lambda df, key, name: df.select(F.col(key).alias("op_id")).filter("op_id is not null").distinct().withColumn(name, F.lit(True))
+        found = targets.join(mine.select("op_id", "kind", "fact_id"), "op_id", "left").join(flag(mine, "reverts", "done"), "op_id", "left").join(self.table("tombstones").withColumn("gone", F.lit(True)), "fact_id", "left")
+        _refuse_any(
+            found,
+            (F.col("kind").isNull(), "the operation isn't on the branch"),
+            (F.col("done"), "the operation is reverted already"),
+            (F.col("kind") == "revert", "a revert isn't reverted"),
+            (F.col("gone"), "what was forgotten isn't restored"),
+        )
+        back = before_on(mine, targets) if on_line else before(self.table("commits"), self.table("operations"), targets)
         return self._commit(back.select(F.lit("revert").alias("kind"), "fact_id", "payload", F.col("op_id").alias("reverts")))
 
     def revert_commit(self, commit_id: str) -> str:
