@@ -21,7 +21,7 @@ a hash of id and piece, then id. An empty table gives an empty result. Other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -100,29 +100,34 @@ class Bins:
             self.holding[bit][r] += by
 
 
-def bitmaps(groups: Iterable[Iterable[int]]) -> list[int]:
-    """For the groups that each piece belongs to, a bitmap with a bit for each group of two pieces or more; groups of the same pieces have one bit."""
-    members: dict[int, list[int]] = {}
-    out = []
-    for i, values in enumerate(groups):
-        out.append(0)
-        for v in values:
-            members.setdefault(v, []).append(i)
-    for bit, rows in enumerate(sorted({tuple(sorted(set(m))) for m in members.values() if len(m) > 1})):
-        for i in rows:
+def bitmaps(groups: Sequence[Sequence]) -> list[int]:
+    """For the groups that each piece belongs to, a bitmap with a bit for each group of two pieces or more; groups of the same pieces have one bit.
+
+    Groups are sorted as one flat array, and only those of several pieces become Python objects.
+    """
+    rows = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    flat = np.concatenate([np.asarray(g) for g in groups]) if len(groups) else np.zeros(0, np.int64)
+    numbers = np.unique(flat, return_inverse=True)[1]
+    order = np.lexsort((rows, numbers))
+    ends = np.flatnonzero(np.diff(numbers[order], append=-1)) + 1
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    several = ends - starts > 1
+    out = [0] * len(groups)
+    members = {tuple(dict.fromkeys(rows[order[x:y]].tolist())) for x, y in zip(starts[several], ends[several])}
+    for bit, pieces in enumerate(sorted(m for m in members if len(m) > 1)):
+        for i in pieces:
             out[i] |= 1 << bit
     return out
 
 
 def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Adds bin, place and bin_words to the pieces of a shard (doc_id, key, groups, piece, n)."""
-    groups = [tuple(map(int, g)) for g in pdf.groups]
+    """Adds bin, place and bin_words to the pieces of a shard (doc_id, key, groups, piece, n); the first group is that of equal texts."""
     names = [f"{d}:{p}" for d, p in zip(pdf.doc_id.astype("object").where(pdf.doc_id.notna(), "null"), pdf.piece)]
-    pdf = pdf.drop(columns="groups").assign(groups=groups, at=[hashlib.blake2b(x.encode(), digest_size=8).hexdigest() for x in names])
-    pdf = pdf.sort_values(["n", "at", "doc_id", "key", "groups"], ascending=[False, True, True, True, True], kind="stable")
+    pdf = pdf.assign(at=[hashlib.blake2b(x.encode(), digest_size=8).hexdigest() for x in names], copy=[int(g[0]) for g in pdf.groups])
+    pdf = pdf.sort_values(["n", "at", "doc_id", "key", "copy"], ascending=[False, True, True, True, True], kind="stable")
     bins = Bins(capacity)
     # the bitmaps have any number of bits, so they stay outside the frame
-    put = [bins.put(int(n), s, c) for n, s, c in zip(pdf.n, bitmaps([k] for k in pdf["key"]), bitmaps(pdf.groups))]
+    put = [bins.put(int(n), s, c) for n, s, c in zip(pdf.n, bitmaps([[k] for k in pdf["key"]]), bitmaps(list(pdf.groups)))]
     return pdf.assign(bin=[b for b, _ in put], place=[p for _, p in put], bin_words=[capacity - bins.residual[b] for b, _ in put])
 
 
