@@ -19,6 +19,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 #: Rows of a batch that are Python objects at once; Spark's batches hold 10,000, which with whole texts is much memory for a worker.
 SLICE_ROWS = 1_000
+#: Bytes of a batch on its way to a Python worker, about.
+BATCH_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -72,6 +74,19 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS, mo
     return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that Spark hands to Python workers from here on in this session: whole texts are large rows, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", spark.conf.get(key))
+    if now is None or int(now[0]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
@@ -86,7 +101,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
             if (out := function(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import cut, map_batches, n_words, sliced, small, text_list
+from corvane.llm.common import cut, map_arrow, map_batches, n_words, sliced, small, text_list
 
 ORDER, DISCOUNT, DEAD, PRIOR_WORDS, MOST_WORD = 5, 0.75, 2.5, 30, 64
 #: Sequences up to which the model is broadcast; beyond it, it is joined.
@@ -203,7 +203,7 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
             keys = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([c[g] for g in keys], pa.int64()) for c in by)], ["gram", "n0", "n1"])
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "gram binary, n0 long, n1 long")
+    counted = map_arrow(rows.select("text", "toxic"), run, "gram binary, n0 long, n1 long")
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -238,7 +238,7 @@ def joined_evidence(docs: DataFrame, model: Tables) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.string(), pa.binary(), pa.int64()))], ["_text", "word", "n"])
 
     keyed = docs.withColumn("_text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    held = keyed.select("_text", "text").mapInArrow(run, "_text string, word binary, n long")
+    held = map_arrow(keyed.select("_text", "text"), run, "_text string, word binary, n long")
     values = cut(word_evidence(held.select("word").distinct(), model))
     # copies of a text give the same rows, once each after the distinct
     sums = held.join(small(values), "word").distinct().groupBy("_text").agg(F.sum(_exact(F.col("value")) * F.col("n").cast("decimal(9,0)")).cast("double").alias("_sum"))
