@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 
 ROOT, SMALL = Path(__file__).parents[1], "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["tokenize", "bm25f_top10", "knn_exact", "reciprocal_rank_fusion", "transitions", "merkle_tree", "snapshot_changes", "distinct_edges", "innermost_span", "stale_confusion", "splits", "replay", "merge_preview", "refresh_freshness", "timeline_forward", "memory_preamble", "debounce", "page_links", "api_edges"]
+CHECKED = ["tokenize", "bm25f_top10", "knn_exact", "reciprocal_rank_fusion", "transitions", "merkle_tree", "snapshot_changes", "distinct_edges", "innermost_span", "stale_confusion", "splits", "replay", "merge_preview", "refresh_freshness", "timeline_forward", "memory_preamble", "debounce", "page_links", "api_edges", "index_incremental", "resolved_edges", "branch_states", "merkle_refresh", "encoded_neighbours", "knapsack_value"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
