@@ -13,8 +13,7 @@ apart. A null id comes last. An empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
-import json
-import math
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +43,7 @@ def hashes(text: Column, shingle: int = SHINGLE) -> Column:
 
 
 def least(values: Column, k: int = K) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(values)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(values)), 1, k)
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -53,7 +52,7 @@ def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def merge_all(rows: DataFrame, by: list[str], k: int = K) -> DataFrame:
@@ -110,18 +109,21 @@ def _bounds(keys: DataFrame, n: int, block_rows: int, most_blocks: int) -> list:
 
 
 def _block(bounds: list) -> Column:
-    """The number of bounds at or below the row's key, found in two steps of about the square root of their number."""
+    """The number of bounds at or below the row's key, by halving: the bounds lie one after another in a constant of bytes that compare as keys do."""
     if not bounds:
         return F.lit(0).cast("long")
-    kind = "array<struct<bare:boolean,down:bigint,tie:bigint>>"
-    wide = math.isqrt(len(bounds) - 1) + 1
-    listed = lambda rows: F.from_json(F.lit(json.dumps([{"bare": r[0], "down": r[1], "tie": r[2]} for r in rows])), kind)
-    own = F.struct("bare", "down", "tie")
-    below = lambda values: F.size(F.filter(values, lambda x: x <= own))
-    # a constant that the optimizer folds once; the heads of runs of bounds first, then the run
-    runs = F.from_json(F.lit(json.dumps([[{"bare": r[0], "down": r[1], "tie": r[2]} for r in bounds[i : i + wide]] for i in range(0, len(bounds), wide)])), f"array<{kind}>")
-    head = below(listed(bounds[::wide]))
-    return F.when(head == 0, 0).otherwise((head - 1) * wide + below(F.get(runs, head - 1))).cast("long")
+    table = F.lit(bytearray(b"".join(struct.pack(">?QQ", r[0], r[1] + (1 << 63), r[2] + (1 << 63)) for r in bounds)))
+    wide = struct.calcsize(">?QQ")
+    unsigned = lambda c: F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.unhex(F.concat(F.when(F.col("bare"), "01").otherwise("00"), unsigned("down"), unsigned("tie")))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+
+    def found(own: Column) -> Column:
+        reached = lambda n: (n <= len(bounds)) & (F.substring(table, (n - 1) * wide + 1, F.lit(wide)) <= own)
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(reached(n + step), n + step).otherwise(n))
+
+    # through an array of one, so that the key is made once a row
+    return F.get(F.transform(F.array(key), found), F.lit(0)).cast("long")
 
 
 def with_next(docs: DataFrame, made: Callable[[DataFrame], DataFrame] = lambda rows: rows, columns: tuple[str, ...] = ("text",), block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against a plain version on small tables, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import bisect
 import hashlib
 import json
 import math
@@ -95,6 +96,27 @@ def test_blocks_are_even_whatever_the_ids(spark):
     assert len(sizes) > 40 and max(sizes) <= 200
 
 
+def test_blocks_are_found_by_halving(spark):
+    """The right block for any key, and a row costs about the same whether there are 500 bounds or 50,000."""
+    dice = random.Random(3)
+    edge = [(False, -(1 << 63), -(1 << 63)), (False, -1, 5), (False, 0, 5), (False, (1 << 63) - 1, 0), (True, 0, -7), (True, 0, 7)]
+    rows = edge + [(False, dice.randrange(-(1 << 63), 1 << 63), dice.randrange(-(1 << 63), 1 << 63)) for _ in range(30_000)]
+    keys = spark.createDataFrame(rows, "bare boolean, down long, tie long").repartition(4).cache()
+    keys.count()
+
+    def took(n):
+        bounds = sorted(edge + [(False, dice.randrange(-(1 << 63), 1 << 63), 0) for _ in range(n - len(edge))])
+        began = time.perf_counter()
+        got = keys.withColumn("at", fingerprints._block(bounds)).collect()
+        seconds = time.perf_counter() - began
+        assert all(r["at"] == bisect.bisect_right(bounds, (r.bare, r.down, r.tie)) for r in got)
+        return seconds
+
+    took(1), took(500)
+    assert min(took(50_000) for _ in range(2)) < 3 * min(took(500) for _ in range(2)) + 1
+    keys.unpersist()
+
+
 def test_sketches_merge_and_estimate(spark):
     base = prose(3000, 5).split()
     df = spark.createDataFrame([("x", " ".join(base[:2000])), ("y", " ".join(base[1000:])), ("z", " ".join(base[:2000]))], "g string, text string").withColumn("sketch", fingerprints.sketch(F.col("text")))
