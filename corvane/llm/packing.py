@@ -159,8 +159,12 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, key, size, groups) of every row; all that packing needs to know of a text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens = [t.lower().encode("utf-8", "surrogatepass").split() for t in text_list(batch)]
-        columns = [pa.array(map(len, tokens), pa.int64()), pa.array(map(copy_groups, tokens), pa.list_(pa.int64()))]
+        known = {}  # rows of further epochs repeat a text
+        for text in (texts := text_list(batch)):
+            if text not in known:
+                tokens = text.lower().encode("utf-8", "surrogatepass").split()
+                known[text] = len(tokens), copy_groups(tokens)
+        columns = [pa.array((known[t][k] for t in texts), kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int64())))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("key"), *columns], ["doc_id", "key", "size", "groups"])
 
     keyed = docs.select("doc_id", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("key"), "text")

@@ -18,16 +18,21 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import cut, map_batches, small, text_list, words
+from corvane.llm.common import cut, map_arrow, map_batches, sliced, small, text_list, words
 
 KINDS = ("email", "ip", "card", "phone")
 AROUND, SUPPORT, GENERALISE, REMOVE = 12, 3, 0.6, 0.85
+#: Distinct terms that a task counts before it passes them on.
+MOST_HELD = 150_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,8 +104,8 @@ def cluster_of(folded: Column) -> Column:
 
 
 def might_hold(text: Column) -> Column:
-    """Whether a text can hold a base span at all; native, so that most texts are passed over without Python."""
-    return F.coalesce(F.rlike(text, F.lit(r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}")), F.lit(False))
+    """Whether a text can hold a base span at all; native, so that most texts are passed over without Python. One class of characters is looked for before any alternative."""
+    return F.coalesce(F.rlike(text, F.lit(r"(?=[@+0-9])(?:@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13})")), F.lit(False))
 
 
 def _free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
@@ -142,18 +147,51 @@ def _parted(docs: DataFrame) -> DataFrame:
     return parts.select(cluster_of(F.col("folded")).alias("copy"), F.array_distinct(F.transform("folded", lambda w: F.xxhash64(F.btrim(w, F.lit(_EDGE))))).alias("hashes"))
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(hash, copied, n), in parts to be summed: rows of each document (copied, hash as `cluster_of` has it) and rows that hold a term (not copied, hash as `_parted` has it).
+
+    Texts are read once for both; a task counts terms itself, up to MOST_HELD distinct ones.
+    """
+
+    def summed(terms: Counter[bytes], rows: Counter[int]) -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), np.uint64, len(terms)).view(np.int64)
+        columns = [np.concatenate([hashes, np.array(list(rows), np.uint64).view(np.int64)]), np.arange(len(terms) + len(rows)) >= len(terms), np.array([*terms.values(), *rows.values()], np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "copied", "n"])
+
+    def run(batches):
+        edge = _EDGE.encode()
+        terms: Counter[bytes] = Counter()
+        rows: Counter[int] = Counter()
+        for batch in sliced(batches):
+            for text in batch.column("folded").to_pylist():
+                found = text.split()
+                rows[xxhash.xxh64_intdigest(b" ".join(found), 42)] += 1
+                terms.update({w.strip(edge) for w in set(found)})
+            if len(terms) > MOST_HELD:
+                yield summed(terms, rows)
+                terms, rows = Counter(), Counter()
+        yield summed(terms, rows)
+
+    return map_arrow(docs.select(F.coalesce(F.lower("text"), F.lit("")).cast("binary").alias("folded")), run, "hash long, copied boolean, n long")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, rare: float = REMOVE) -> DataFrame:
     """(entity, term, n_both, disclosure): terms at or over their threshold."""
-    copies = cut(docs.groupBy(cluster_of(folded_words(F.col("text"))).alias("copy")).agg(F.count(F.lit(1)).alias("rows")))
-    total = copies.count()
     joint = cut(found.filter("term is not null").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")))
     held = found.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = joint.select(F.xxhash64("term").alias("hash")).distinct()
-    # document frequency over the whole corpus, of the terms in question; the rows of one document share its weight
-    weighed = _parted(docs).join(small(copies.filter("rows > 1")), "copy", "left").select(F.explode("hashes").alias("hash"), (1 / F.coalesce("rows", F.lit(1))).alias("weight"))
-    if (few := small(wanted)) is not wanted:
-        weighed = weighed.join(few, "hash", "left_semi")
-    spread = weighed.groupBy("hash").agg(F.round(F.sum("weight")).alias("n_term"))
+    # document frequency over the whole corpus, of the terms in question
+    wanted = joint.select(F.xxhash64("term").alias("hash"), F.lit(False).alias("copied")).distinct()
+    counts = counted(docs).join(small(wanted).withColumn("_wanted", F.lit(True)), ["hash", "copied"], "left").filter("copied or _wanted")
+    counts = cut(counts.groupBy("hash", "copied").agg(F.sum("n").alias("n")))
+    copies = counts.filter("copied").select(F.col("hash").alias("copy"), F.col("n").alias("rows"))
+    total, n_often = copies.agg(F.count(F.lit(1)), F.count_if(F.col("rows") > 1)).first()
+    spread = counts.filter("not copied").select("hash", F.col("n").alias("n_term"))
+    if n_often:
+        # the rows of one document share its weight
+        often = small(copies.filter("rows > 1"))
+        repeated = docs.select("text", cluster_of(folded_words(F.col("text"))).alias("_at")).join(often.withColumnRenamed("copy", "_at"), "_at", "left_semi").select("text")
+        excess = _parted(repeated).join(often, "copy").select(F.explode("hashes").alias("hash"), (1 - 1 / F.col("rows")).alias("excess")).groupBy("hash").agg(F.sum("excess").alias("excess"))
+        spread = spread.join(excess, "hash", "left").select("hash", F.round(F.col("n_term") - F.coalesce("excess", F.lit(0.0))).alias("n_term"))
     n = F.lit(float(max(1, total)))
     both = joint.withColumn("hash", F.xxhash64("term")).join(held, "entity").join(spread, "hash")
     pmi = F.log2(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.greatest("n_entity", "n_both")))

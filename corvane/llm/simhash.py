@@ -18,7 +18,7 @@ An empty table gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,21 +45,11 @@ def fingerprint(text: str) -> int:
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return 0
-    joined = b" ".join(tokens)
-    ends, at = [], -1
-    for token in tokens:
-        at += len(token) + 1
-        ends.append(at)
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= SHINGLE:
-        hashes = [digest(joined, 42)]
-    else:
-        hashes = [digest(joined[a:b], 42) for a, b in zip([0, *(e + 1 for e in ends[: -SHINGLE])], ends[SHINGLE - 1 :])]
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(SHINGLE)))) if len(tokens) > SHINGLE else [b" ".join(tokens)]
+    values = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype=">u8")
-    for start in range(0, len(values), 1 << 16):
-        block = values[start : start + (1 << 16)]
-        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    for start in range(0, len(values), 255):  # sums of so many bits fit in bytes
+        counts += np.unpackbits(values[start : start + 255], axis=1).sum(axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * counts > len(values)).tobytes(), "big")
 
 

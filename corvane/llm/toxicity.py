@@ -12,9 +12,10 @@ curve turns this into a score.
 
 Counts cover all labelled rows of the learning folds (crc32 of the id modulo 5 is 1, 2 or 3); fold 4 fits the
 curve, on at most `calibration_rows` rows (the least by hash of the id); fold 0 is held out. Counts are kept per byte
-sequence, not per word, and none is dropped. Up to `most_grams` sequences the model is made on the driver and broadcast;
-beyond that the same model stays two tables, made by aggregation and joined to the distinct words of
-the texts, so its size bounds no memory and decides no result.
+sequence, not per word, and none is dropped. Up to `most_grams` sequences the model is made on the driver;
+beyond that the same model is two tables, made by aggregation. Up to BROADCAST_ROWS sequences either is broadcast as flat arrays
+of keys and values (16 bytes a sequence); beyond that the tables are joined to the distinct words of
+the texts, so the model's size bounds no memory and decides no result.
 
 Defined cases: a null or empty text has no evidence and gets the curve's value at 0. Rows with
 null ids or labels aren't learned from (a null id isn't held out either); an id with several labels counts as toxic if any says so. Without any toxic or any ordinary
@@ -33,11 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import cut, map_arrow, map_batches, n_words, sliced, small, text_list
+from corvane.llm.common import BROADCAST_ROWS, cut, map_arrow, map_batches, n_words, sliced, small, text_list
 
 ORDER, DISCOUNT, DEAD, PRIOR_WORDS, MOST_WORD = 5, 0.75, 2.5, 30, 64
-#: Sequences up to which the model is broadcast; beyond it, it is joined.
+#: Sequences up to which the model is made on the driver; beyond it, by aggregation.
 MOST_GRAMS = 400_000
+#: Distinct words that a task counts before it passes on their sequences.
+MOST_HELD = 100_000
+#: Words whose sequences are arrays at once.
+WORDS_AT_ONCE = 8_192
 CALIBRATION_ROWS = 20_000
 FOLDS, CALIBRATION_FOLD = 5, 4
 
@@ -55,6 +60,111 @@ def grams(word: bytes, order: int = ORDER) -> list[bytes]:
     return out
 
 
+def sequence_keys(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the `grams` of all words, and how many each word has; WORDS_AT_ONCE together, as words are mostly new ones.
+
+    A key is a sequence's bytes as a number, with its length in the highest byte; sequences are of seven bytes at most.
+    """
+    if len(words) > WORDS_AT_ONCE:
+        parts = [sequence_keys(words[i : i + WORDS_AT_ONCE], order) for i in range(0, len(words), WORDS_AT_ONCE)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    pieces, n_pieces = words, np.minimum(lengths, 1)
+    if len(words) and lengths.max() > MOST_WORD:
+        pieces, n_pieces = [w[i : i + MOST_WORD] for w in words for i in range(0, len(w), MOST_WORD)], -(-lengths // MOST_WORD)
+    elif len(words) and not lengths.min():
+        pieces = [w for w in words if w]
+    counts = lengths + n_pieces
+    if not pieces:
+        return np.zeros(0, np.uint64), counts
+    data = np.frombuffer(b"\x01" + b"\x02\x01".join(pieces) + b"\x02", np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 2
+    ends = np.cumsum(sizes)
+    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    keys = data | (np.minimum(place + 1, order).astype(np.uint64) << np.uint64(56))
+    for back in range(1, order):
+        keys[back:] |= np.where(place[back:] >= back, data[:-back] << np.uint64(8 * back), np.uint64(0))
+    return keys[place > 0], counts
+
+
+def keys_of(sequences: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(g) | len(g) << 56 for g in sequences], np.uint64)
+
+
+def contexts_of(keys: np.ndarray) -> np.ndarray:
+    """The keys of the sequences without their last bytes."""
+    return ((keys & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | (((keys >> np.uint64(56)) - np.uint64(1)) << np.uint64(56))
+
+
+def sequences_of(keys: np.ndarray) -> pa.Array:
+    """The sequences of keys, as binary."""
+    sizes = (keys >> np.uint64(56)).astype(np.int64)
+    held = np.arange(8) >= 8 - sizes[:, None]
+    data = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[held]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+class Values:
+    """Values of sequences by key, in flat arrays, which many keys are looked up in at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        slots = self._slots(keys)
+        order = np.argsort(slots, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.first = np.searchsorted(slots[order], np.arange((1 << int(64 - int(self.shift))) + 1)).astype(np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that are not held."""
+        slots = self._slots(keys)
+        at, end = self.first[slots], self.first[slots + 1]
+        found = np.full(len(keys), -1)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            here = at[rest]
+            same = self.keys[here] == keys[rest]
+            found[rest[same]] = here[same]
+            rest, here = rest[~same], here[~same] + 1
+            at[rest] = here
+            rest = rest[here < end[rest]]
+        return found
+
+
+@dataclass
+class Scorer:
+    """What workers need of a model."""
+
+    evidence: Values
+    contexts: Values
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """The evidence of each word, none of them empty."""
+        if len(words) > WORDS_AT_ONCE:
+            return np.concatenate([self.words(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)])
+        keys, counts = sequence_keys(words)
+        if not len(keys):
+            return np.zeros(0)
+        at = self.evidence.find(keys)
+        values, known = np.zeros(len(keys), np.longdouble), at >= 0
+        values[known] = self.evidence.values[at[known]]
+        other = np.flatnonzero(~known)
+        at = self.contexts.find(contexts_of(keys[other]))
+        values[other[at >= 0]] = self.contexts.values[at[at >= 0]]
+        return np.maximum(0.0, np.add.reduceat(values, np.cumsum(counts) - counts).astype(np.float64) - DEAD)
+
+    def texts(self, texts: list[str]) -> list[float]:
+        """The length-normalised evidence of each text; distinct words are valued once, and few have any."""
+        split = [tokens(x) for x in texts]
+        distinct = list(set().union(*split))
+        values = self.words(distinct)
+        said = {distinct[i]: float(values[i]) for i in np.flatnonzero(values)}
+        return [math.fsum(map(said.__getitem__, filter(said.__contains__, found))) / (len(found) + PRIOR_WORDS) for found in split]
+
+
 @dataclass
 class Curve:
     slope: float = 1.0
@@ -69,23 +179,9 @@ class Model:
     evidence: dict[bytes, float]
     contexts: dict[bytes, float]
     curve: Curve = field(default_factory=Curve)
-    known: dict[bytes, float] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def word(self, word: bytes) -> float:
-        if (found := self.known.get(word)) is None:
-            found = max(0.0, sum(self.evidence[g] if g in self.evidence else self.contexts.get(g[:-1], 0.0) for g in grams(word)) - DEAD)
-            if len(self.known) > 150_000:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def evidence_of(self, text: str) -> float:
-        """Length-normalised."""
-        found = tokens(text)
-        return math.fsum(map(self.word, found)) / (len(found) + PRIOR_WORDS)
+    def scorer(self) -> Scorer:
+        return Scorer(*(Values(keys_of(list(x)), np.array(list(x.values()), np.float64)) for x in (self.evidence, self.contexts)))
 
 
 @dataclass
@@ -96,6 +192,14 @@ class Tables:
     contexts: DataFrame
     curve: Curve = field(default_factory=Curve)
 
+    def scorer(self) -> Scorer | None:
+        """None if there are more sequences than may be broadcast."""
+        parts = (self.evidence, self.contexts)
+        if max(x.count() for x in parts) > BROADCAST_ROWS:
+            return None
+        tables = [x.select("gram", "value").toArrow() for x in parts]
+        return Scorer(*(Values(keys_of(t.column("gram").to_pylist()), t.column("value").to_numpy()) for t in tables))
+
 
 def estimate(table: list[tuple[bytes, int, int]], order: int = ORDER, d: float = DISCOUNT) -> Model:
     """A model from (sequence, count in ordinary, count in toxic) of the highest order."""
@@ -188,20 +292,26 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n0, n1): counts of byte sequences by class. Words are counted per slice of a batch first."""
+    """(gram, n0, n1): counts of byte sequences by class. Words are counted first, over a task's rows up to MOST_HELD distinct ones."""
+
+    def counted_grams(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        held = list(counts[0].keys() | counts[1].keys())
+        keys, of = sequence_keys(held, order)
+        unique, place = np.unique(keys, return_inverse=True)
+        sums = [np.zeros(len(unique), np.int64) for _ in counts]
+        for n, c in zip(sums, counts):
+            np.add.at(n, place, np.repeat(np.fromiter(map(c.__getitem__, held), np.int64, len(held)), of))
+        return pa.RecordBatch.from_arrays([sequences_of(unique), *map(pa.array, sums)], ["gram", "n0", "n1"])
 
     def run(batches):
-        for batch in sliced(batches, 2_500):
-            counts = (Counter(), Counter())
+        counts = (Counter(), Counter())
+        for batch in sliced(batches):
             for text, toxic in zip(text_list(batch), batch.column("toxic").to_pylist()):
                 counts[toxic].update(tokens(text))
-            by = (Counter(), Counter())
-            for k in (0, 1):
-                for word, n in counts[k].items():
-                    for g in grams(word, order):
-                        by[k][g] += n
-            keys = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([c[g] for g in keys], pa.int64()) for c in by)], ["gram", "n0", "n1"])
+            if len(counts[0]) + len(counts[1]) > MOST_HELD:
+                yield counted_grams(counts)
+                counts = (Counter(), Counter())
+        yield counted_grams(counts)
 
     counted = map_arrow(rows.select("text", "toxic"), run, "gram binary, n0 long, n1 long")
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -248,12 +358,13 @@ def joined_evidence(docs: DataFrame, model: Tables) -> DataFrame:
 
 def with_evidence(docs: DataFrame, model: Model | Tables) -> DataFrame:
     """All columns and `_evidence`."""
-    if isinstance(model, Tables):
+    scorer = model.scorer()
+    if scorer is None:
         return joined_evidence(docs, model)
-    handed = docs.sparkSession.sparkContext.broadcast(model)
+    handed = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.append_column("_evidence", pa.array(map(handed.value.evidence_of, text_list(batch)), pa.float64()))
+        return batch.append_column("_evidence", pa.array(handed.value.texts(text_list(batch)), pa.float64()))
 
     return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())]))
 

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +160,15 @@ def test_simhash_against_all_pairs(spark, hard):
     assert simhash.near_duplicates(hard.limit(0)).count() == 0
 
 
+def test_fingerprints_of_texts_of_any_length():
+    """Bits are summed in bytes, block by block."""
+    for n in (0, 1, 3, 4, 5, 257, 258, 259, 260, 700, 3000):
+        for text in (prose(n, n), "same " * n):
+            held = [w.encode() for w in re.sub("[A-Z]", lambda m: m[0].lower(), text).split()]
+            hashes = [xxhash.xxh64_intdigest(b" ".join(held[i : i + 4]), 42) for i in range(max(1, len(held) - 3))] if held else []
+            assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_position_triples_meet_every_choice_of_four():
     from itertools import combinations
 
@@ -296,6 +306,40 @@ def test_toxicity_keeps_every_sequence(spark):
     assert toxicity.score(docs, joined).columns[:-2] == docs.columns
 
 
+def test_a_larger_model_is_still_broadcast(spark, monkeypatch):
+    """A model made by aggregation is joined to the words of all texts only if it can't be broadcast; all three forms score alike."""
+    rows = [(i, prose(30, i) + (" zorkling quaxhead" if i % 4 == 0 else ""), "a") for i in range(200)] + [(9000, None, "a"), (9001, "é" * 150 + " zorkling", "a")]
+    docs, lab = documents(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    scores = lambda model: [(r.doc_id, round(r._score, 7), round(r._evidence, 9)) for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    whole, joined = toxicity.train(docs, lab), toxicity.joined_evidence
+
+    def refused(*_):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(toxicity, "joined_evidence", refused)
+    found = scores(toxicity.train(docs, lab, most_grams=0))
+    assert found == scores(whole) and any(e for *_, e in found)
+    monkeypatch.setattr(toxicity, "joined_evidence", joined)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    assert scores(toxicity.train(docs, lab, most_grams=0)) == found
+
+
+def test_words_are_valued_all_at_once():
+    rng = random.Random(5)
+    held = [bytes(rng.choice(b"\x00\x01\x02ab\xff") for _ in range(rng.choice((1, 2, 3, 9, 63, 64, 65, 200)))) for _ in range(400)]
+    keys, counts = toxicity.sequence_keys(held)
+    plain = [g for w in held for g in toxicity.grams(w)]
+    assert toxicity.sequences_of(keys).to_pylist() == plain and keys.tolist() == toxicity.keys_of(plain).tolist() and counts.tolist() == [len(toxicity.grams(w)) for w in held]
+    assert toxicity.contexts_of(keys).tolist() == toxicity.keys_of([g[:-1] for g in plain]).tolist()
+    assert [len(x) for x in toxicity.sequence_keys([])] == [0, 0] and [len(x) for x in toxicity.sequence_keys([b""])] == [0, 1]
+    table = {g: (rng.randint(0, 3), rng.randint(0, 9)) for g in plain[::2]}
+    model = toxicity.estimate([(g, a, b) for g, (a, b) in table.items() if a + b])
+    want = [max(0.0, sum(model.evidence.get(g, model.contexts.get(g[:-1], 0.0)) for g in toxicity.grams(w)) - 2.5) for w in held]
+    got = model.scorer().words(held)
+    assert np.allclose(got, want, rtol=0, atol=1e-12) and any(want) and not all(want)
+    assert toxicity.Model({}, {}).scorer().words(held).tolist() == [0.0] * len(held)
+
+
 def plain_model(table, d=0.75):
     """P(k, g): probability of the last byte of g after the others in class k (None: the shared backoff), by the definition."""
     parts = {g[i:] for g, *_ in table for i in range(len(g))}
@@ -493,6 +537,19 @@ def test_disclosure_counts_distinct_documents(spark):
     assert all("Nightjar" not in got[i] for i in range(6)) and all(got[i] == t for i, t, _ in others)
 
 
+def test_terms_and_rows_are_counted_in_one_pass(spark, monkeypatch):
+    """Hashes and counts are those of the expressions that the other passes use."""
+    rows = letters() + [(500, None, "a"), (501, "ÄÖ\x0bİx ...Straße!\x85\xa0y \x1cz", "a"), (502, "(Word) word WORD.", "a"), (503, "word  WORD (word).", "a")]
+    docs = documents(spark, rows)
+    for most in (pii.MOST_HELD, 0):
+        monkeypatch.setattr(pii, "MOST_HELD", most)
+        got = {(r.hash, r.copied): r.n for r in pii.counted(docs).groupBy("hash", "copied").agg(F.sum("n").alias("n")).collect()}
+        want = Counter()
+        for r in pii._parted(docs).collect():
+            want.update([(r.copy, True), *((h, False) for h in r.hashes)])
+        assert got == want
+
+
 MIT = """Copyright (c) 2020 Somebody
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
