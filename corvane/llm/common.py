@@ -21,6 +21,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 SLICE_ROWS = 1_000
 #: Bytes of a batch on its way to a Python worker, about.
 BATCH_BYTES = 8 << 20
+#: Rows of a batch of Parquet's reader. A task keeps one with all its texts, and Spark's 4,096 rows of whole texts are much of an executor's heap.
+READ_ROWS = 256
 
 
 def words(text: Column) -> Column:
@@ -75,11 +77,11 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS, mo
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of the batches that Spark hands to Python workers from here on in this session: whole texts are large rows, and both sides hold a batch."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"\d+", spark.conf.get(key))
-    if now is None or int(now[0]) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Bounds the bytes of the batches that Spark hands to Python workers, and the rows of those that it reads, from here on in this session: whole texts are large rows, and both sides hold a batch."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = re.match(r"\d+", spark.conf.get(key))
+        if now is None or int(now[0]) > most:
+            spark.conf.set(key, str(most))
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

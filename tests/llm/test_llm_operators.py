@@ -324,6 +324,22 @@ def test_a_larger_model_is_still_broadcast(spark, monkeypatch):
     assert scores(toxicity.train(docs, lab, most_grams=0)) == found
 
 
+def test_texts_are_read_a_few_rows_at_once(spark, tmp_path):
+    """A task keeps the batch of its reader, with whole texts; all rows pass, in batches of 256 at most."""
+    spark.range(5_000).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    before = spark.conf.get(key := "spark.sql.parquet.columnarReaderBatchSize")
+    for given, n in (("4096", 20), ("100", 50)):
+        spark.conf.set(key, given)
+        kept = toxicity.without_toxic(spark.read.parquet(f"{tmp_path}/docs"), labels)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(5_000))
+        nodes = [kept._jdf.queryExecution().executedPlan()]
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert [x.metrics().apply("numInputBatches").value() for x in nodes if x.nodeName() == "ColumnarToRow"] == [n]
+    spark.conf.set(key, before)
+
+
 def test_words_are_valued_all_at_once():
     rng = random.Random(5)
     held = [bytes(rng.choice(b"\x00\x01\x02ab\xff") for _ in range(rng.choice((1, 2, 3, 9, 63, 64, 65, 200)))) for _ in range(400)]
