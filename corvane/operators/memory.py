@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Window
 
 from corvane.operators.lexical import search
 from corvane.operators.snapshot import renames
-from corvane.session import ensure_checkpoint_dir
+from corvane.session import cut, small
 
 SOURCE_PRIORITY = {"code": 3, "test": 2, "user": 1}
 
@@ -53,19 +54,25 @@ def monotone(rows: DataFrame, by: list[str], order: list[str], time: str) -> Dat
 
 
 def closure(edges: DataFrame, start: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(root, id): everything reachable along edges (src, dst) from start (root, id), itself included; cycles end by the visited set. Raises if that takes most_rounds, where given."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    seen = start.select("root", "id").distinct().checkpoint(eager=True)
-    front = seen
+    """(root, id): everything reachable along edges (src, dst) from start (root, id), itself included; cycles end by the visited set. Raises if that takes most_rounds, where given.
+
+    A front that is few rows goes to the edges where they lie; a larger one meets them, and what was seen, by a sorted join, so no side of a round comes to the driver whole.
+    """
+    out = cut(edges.select(F.col("src").alias("id"), "dst"))
+    front = cut(start.select("root", "id").distinct())
+    seen = [front]
     for n in count():
         if n == most_rounds:
             raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
-        step = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id")).distinct()
-        front = step.join(seen, ["root", "id"], "left_anti").checkpoint(eager=True)
+        few = small(front, 20_000, 1 << 20)
+        step = (few.join(out, "id") if few is not front else front.hint("merge").join(out, "id")).select("root", F.col("dst").alias("id")).distinct()
+        found = reduce(DataFrame.unionByName, seen)
+        front = cut(step.join(found.hint("merge"), ["root", "id"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint(eager=True)
-    return seen
+        # what was seen is written anew only when it is in many pieces
+        seen = [*seen, front] if len(seen) < 8 else [cut(found), front]
+    return reduce(DataFrame.unionByName, seen)
 
 
 def ancestry(log: DataFrame, heads: DataFrame) -> DataFrame:

@@ -40,9 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: rows go to the shared folder, so a lost executor costs no recomputation."""
+    """Cuts the lineage: rows go to the shared folder, so a lost executor costs no recomputation.
+
+    What is read again is a new leaf. A checkpoint's own leaf takes over the plan's constraints and estimated sizes, and in a loop each round
+    derives further ones from those of the round before, until the driver holds nothing else.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), df.sparkSession)
 
 
 def small(df: DataFrame, most_rows: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
