@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corvane.functions.text import code_tokens
-from corvane.session import ensure_checkpoint_dir
+from corvane.session import cut
 
 EDGE_WEIGHTS = {"calls": 1.0, "imports": 0.5, "contains": 0.3, "defines": 0.3, "inherits": 0.7, "tests": 1.0, "config": 0.6, "may_call": 0.3}
 
@@ -28,55 +28,71 @@ def with_reverse(edges: DataFrame, factor: float = 0.5) -> DataFrame:
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, w): parallels summed, edges without both ends in nodes dropped."""
-    kept = edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    """(src, dst, w): parallels summed, edges without both ends in nodes dropped.
+
+    Both sides are written first: the optimizer would push the joins into every branch of a union that they are made of, and a task would hold a sort for each.
+    """
+    known, all_ = cut(nodes.select("id").distinct()), cut(edges.select("source", "target", "kind", "confidence"))
+    end = lambda name: known.select(F.col("id").alias(name)).hint("merge")
+    kept = all_.join(end("source"), "source", "left_semi").join(end("target"), "target", "left_semi")
     weighed = kept.select(F.col("source").alias("src"), F.col("target").alias("dst"), edge_weight(F.col("kind"), F.col("confidence")).alias("w"))
     return weighed.filter("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def transitions(graph: DataFrame) -> DataFrame:
     """(src, dst, p): weights as shares of their source. The totals are joined, so no source's edges gather in one window."""
-    total = graph.filter("w > 0").groupBy("src").agg(F.sum("w").alias("total"))
-    return graph.filter("w > 0").join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
+    some = cut(graph.filter("w > 0").select("src", "dst", "w"))
+    total = some.groupBy("src").agg(F.sum("w").alias("total"))
+    return some.join(total.hint("merge"), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
 
 
 def restart(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query_id, id, r): seeds (query_id, id, score) as shares; uniform for a query whose seeds sum to 0."""
-    inside = seeds.join(nodes.select("id"), "id", "left_semi")
+    inside = seeds.join(nodes.select("id").hint("merge"), "id", "left_semi")
     total = seeds.select("query_id").distinct().join(inside.groupBy("query_id").agg(F.sum("score").alias("total")), "query_id", "left").fillna({"total": 0.0})
     shares = inside.join(total.filter("total > 0"), "query_id").select("query_id", "id", (F.col("score") / F.col("total")).alias("r")).filter("r > 0")
     count = nodes.agg(F.count(F.lit(1)).alias("n"))
-    uniform = total.filter("total = 0").crossJoin(F.broadcast(count)).join(nodes.select("id")).select("query_id", "id", (1 / F.col("n")).alias("r"))
+    # queries go to the nodes, a row each, never the nodes to the queries
+    uniform = nodes.select("id").crossJoin(F.broadcast(total.filter("total = 0").select("query_id").crossJoin(F.broadcast(count)))).select("query_id", "id", (1 / F.col("n")).alias("r"))
     return shares.unionByName(uniform)
 
 
+def _by_source(steps: DataFrame) -> DataFrame:
+    """Steps (src, dst, p) kept sorted in parts by their source, so that rounds only bring scores to them."""
+    n = (steps := cut(steps)).count()
+    return steps.repartition(max(steps.sparkSession.sparkContext.defaultParallelism, n // 200_000 + 1), "src").sortWithinPartitions("src").persist()
+
+
 def personalized_pagerank(nodes: DataFrame, graph: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, most_rounds: int = 200, exact_rounds: int | None = None, measure_every: int = 5) -> DataFrame:
     """(query_id, id, score) of all seeds' queries at once: one join and one aggregate a round, whatever the number of queries.
 
     Mass of nodes without outgoing edges goes to the restart distribution. Ends when no query's scores
     move by `tolerance` in sum; exact_rounds fixes the number instead. Scores are sparse: nodes at 0 have no row.
+    Scores and steps meet by a sorted join, so neither comes to the driver, however well it compresses.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    steps = transitions(graph).repartition("src").persist()
-    r = restart(nodes, seeds).persist()
+    nodes = cut(nodes.select("id"))
+    steps = _by_source(transitions(graph))
+    r = cut(restart(nodes, seeds))
     scores = r.select("query_id", "id", F.col("r").alias("score"))
+    few = r.select("query_id").distinct().count() <= 100_000
     rounds = exact_rounds if exact_rounds is not None else most_rounds
     for i in range(rounds):
         # one left join serves both: rows without a step carry the mass that hangs
-        moved = scores.join(steps, scores.id == steps.src, "left").select("query_id", "dst", "score", "p").persist()
+        moved = scores.hint("merge").join(steps, scores.id == steps.src, "left").select("query_id", "dst", "score", "p").persist()
         hanging = moved.filter("dst is null").groupBy("query_id").agg(F.sum("score").alias("dangling"))
-        base = r.join(hanging, "query_id", "left").select("query_id", "id", ((1 - damping + damping * F.coalesce("dangling", F.lit(0.0))) * F.col("r")).alias("score"))
+        base = r.join(F.broadcast(hanging) if few else hanging, "query_id", "left").select("query_id", "id", ((1 - damping + damping * F.coalesce("dangling", F.lit(0.0))) * F.col("r")).alias("score"))
         spread = moved.filter("dst is not null").select("query_id", F.col("dst").alias("id"), (damping * F.col("score") * F.col("p")).alias("score"))
-        new = base.unionByName(spread).groupBy("query_id", "id").agg(F.sum("score").alias("score")).checkpoint(eager=True)
+        new = cut(base.unionByName(spread).groupBy("query_id", "id").agg(F.sum("score").alias("score")))
         moved.unpersist()
         last = i + 1 == rounds
         if exact_rounds is None and (i % measure_every == measure_every - 1 or last):
             old = scores.withColumnRenamed("score", "old")
-            delta = new.join(old, ["query_id", "id"], "full_outer").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
+            delta = new.join(old.hint("merge"), ["query_id", "id"], "full_outer").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
             scores = new
             if delta is None or delta < tolerance:
                 break
         scores = new
+    steps.unpersist()
     return scores
 
 
@@ -86,25 +102,28 @@ def push_pagerank(graph: DataFrame, seeds: DataFrame, damping: float = 0.85, tol
     Each round settles the residual of every node at once; what is left unsettled bounds the L1 error, as all
     transitions are nonnegative. Mass of nodes without edges returns to the seeds.
     """
-    ensure_checkpoint_dir(graph.sparkSession)
-    steps = transitions(graph).repartition("src").persist()
     total = seeds.agg(F.sum("score")).first()[0] or 0.0
     if total <= 0:
         return seeds.select("id", F.lit(0.0).alias("score")).limit(0), 0.0, True
-    start = seeds.filter("score > 0").select("id", (F.col("score") / total).alias("t"))
+    steps = _by_source(transitions(graph))
+    start = cut(seeds.filter("score > 0").select("id", (F.col("score") / total).alias("t")))
     state = start.select("id", F.lit(0.0).alias("settled"), F.col("t").alias("residual"))
     left = 1.0
     for _ in range(most_rounds):
         if left <= tolerance:
             break
+        # one left join serves both: rows without a step carry the mass that is stuck
         front = state.filter("residual > 0")
-        spread = front.join(steps, front.id == steps.src).select(F.col("dst").alias("id"), F.lit(0.0).alias("settled"), (damping * F.col("residual") * F.col("p")).alias("residual"))
-        stuck = front.join(steps.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("residual"), F.lit(0.0)).alias("mass"))
+        moved = front.hint("merge").join(steps, front.id == steps.src, "left").select("dst", "residual", "p").persist()
+        spread = moved.filter("dst is not null").select(F.col("dst").alias("id"), F.lit(0.0).alias("settled"), (damping * F.col("residual") * F.col("p")).alias("residual"))
+        stuck = moved.filter("dst is null").agg(F.coalesce(F.sum("residual"), F.lit(0.0)).alias("mass"))
         back = start.crossJoin(F.broadcast(stuck)).select("id", F.lit(0.0).alias("settled"), (damping * F.col("mass") * F.col("t")).alias("residual"))
         kept = state.select("id", (F.col("settled") + (1 - damping) * F.col("residual")).alias("settled"), F.lit(0.0).alias("residual"))
         # every round is cut: the state is read three times by the next one
-        state = kept.unionByName(spread).unionByName(back).groupBy("id").agg(F.sum("settled").alias("settled"), F.sum("residual").alias("residual")).checkpoint(eager=True)
+        state = cut(kept.unionByName(spread).unionByName(back).groupBy("id").agg(F.sum("settled").alias("settled"), F.sum("residual").alias("residual")))
+        moved.unpersist()
         left = state.agg(F.sum("residual")).first()[0] or 0.0
+    steps.unpersist()
     return state.filter("settled > 0").select("id", F.col("settled").alias("score")), float(left), left <= tolerance
 
 
