@@ -172,7 +172,7 @@ def merge(preview: DataFrame, resolutions: DataFrame | None = None) -> DataFrame
 
 def anchor_states(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     """(fact_id, symbol_id, state): fresh, stale or orphaned against the current hashes (id, hash)."""
-    joined = anchors.join(symbols.select(F.col("id").alias("symbol_id"), F.col("hash").alias("_now"), F.lit(True).alias("_there")), "symbol_id", "left")
+    joined = anchors.join(symbols.select(F.col("id").alias("symbol_id"), F.col("hash").alias("_now"), F.lit(True).alias("_there")).hint("merge"), "symbol_id", "left")
     state = F.when(F.col("_there").isNull(), "orphaned").when(F.col("_now").eqNullSafe(F.col("content_hash")), "fresh").otherwise("stale")
     return joined.select("fact_id", "symbol_id", state.alias("state"))
 
@@ -180,20 +180,21 @@ def anchor_states(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
 def refresh(facts: DataFrame, anchors: DataFrame, symbols: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts, anchors) after a new snapshot: a rename is followed if its target has the anchored hash; then any missing
     anchor orphans the fact and any differing one makes it stale. A fact never becomes fresh by itself, and rows that don't change stay as they are.
+    Symbols, renames and states grow with the sources and are joined by sorting: as files they look small enough to broadcast when they aren't.
 
     facts (fact_id, freshness), anchors (fact_id, symbol_id, content_hash), symbols (id, hash), renames (old_id, new_id).
     """
-    targets = renames.join(symbols.select(F.col("id").alias("new_id"), F.col("hash").alias("_to")), "new_id").select(F.col("old_id").alias("symbol_id"), "new_id", "_to")
-    moved = anchors.join(targets, "symbol_id", "left").select("fact_id", F.when(F.col("_to") == F.col("content_hash"), F.col("new_id")).otherwise(F.col("symbol_id")).alias("symbol_id"), "content_hash")
+    targets = renames.join(symbols.select(F.col("id").alias("new_id"), F.col("hash").alias("_to")).hint("merge"), "new_id").select(F.col("old_id").alias("symbol_id"), "new_id", "_to")
+    moved = anchors.join(targets.hint("merge"), "symbol_id", "left").select("fact_id", F.when(F.col("_to") == F.col("content_hash"), F.col("new_id")).otherwise(F.col("symbol_id")).alias("symbol_id"), "content_hash")
     states = anchor_states(moved, symbols).groupBy("fact_id").agg(F.bool_or(F.col("state") == "orphaned").alias("_gone"), F.bool_or(F.col("state") == "stale").alias("_old"))
     fresh = F.when(F.col("_gone"), "orphaned").when(F.col("_old"), "stale").otherwise(F.col("freshness"))
-    return facts.join(states, "fact_id", "left").select("fact_id", fresh.alias("freshness")), moved
+    return facts.join(states.hint("merge"), "fact_id", "left").select("fact_id", fresh.alias("freshness")), moved
 
 
 def refresh_after(facts: DataFrame, anchors: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What runs after each index: symbols (id, content_hash) of the snapshots before and after give the renames, which `refresh` follows."""
-    gone = before.join(after.select("id"), "id", "left_anti")
-    new = after.join(before.select("id"), "id", "left_anti")
+    gone = before.join(after.select("id").hint("merge"), "id", "left_anti")
+    new = after.join(before.select("id").hint("merge"), "id", "left_anti")
     return refresh(facts, anchors, after.select("id", F.col("content_hash").alias("hash")), renames(gone, new))
 
 

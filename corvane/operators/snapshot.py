@@ -58,7 +58,7 @@ def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
 def _unique(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs once."""
     once = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(key)
-    return df.join(once, key, "left_semi")
+    return df.join(once.hint("merge"), key, "left_semi")
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -83,9 +83,9 @@ def delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 def renames(before: DataFrame, after: DataFrame) -> DataFrame:
     """(old_id, new_id): a content hash once among removed and once among added ids (id, content_hash)."""
-    gone = before.join(after.select("id"), "id", "left_anti").select(F.col("id").alias("old_id"), "content_hash")
-    new = after.join(before.select("id"), "id", "left_anti").select(F.col("id").alias("new_id"), "content_hash")
-    return _unique(gone, "content_hash").join(_unique(new, "content_hash"), "content_hash").select("old_id", "new_id")
+    gone = before.join(after.select("id").hint("merge"), "id", "left_anti").select(F.col("id").alias("old_id"), "content_hash")
+    new = after.join(before.select("id").hint("merge"), "id", "left_anti").select(F.col("id").alias("new_id"), "content_hash")
+    return _unique(gone, "content_hash").join(_unique(new, "content_hash").hint("merge"), "content_hash").select("old_id", "new_id")
 
 
 def verified_renames(before: DataFrame, after: DataFrame) -> DataFrame:

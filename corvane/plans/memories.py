@@ -165,7 +165,7 @@ ANCHORS_SQL = "anchors AS (SELECT l_orderkey AS fact_id, l_partkey AS symbol_id,
 def anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     k = F.col("p_partkey")
-    anchors = lines.join(part, lines.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").alias("symbol_id")).agg(F.min("p_size").alias("content_hash"))
+    anchors = lines.join(part.hint("merge"), lines.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").alias("symbol_id")).agg(F.min("p_size").alias("content_hash"))
     symbols = part.filter(k % 19 != 0).select(F.when(k % 13 == 0, k + 1_000_000).otherwise(k).alias("id"), F.when(k % 17 == 0, -1).otherwise(F.col("p_size")).alias("hash"))
     return anchors, symbols, part.filter(k % 13 == 0).select(k.alias("old_id"), (k + 1_000_000).alias("new_id"))
 
